@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.llm.chat import chat_digests, format_chats, turns_as_events
+from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.pieces import encoding_digests
 from textloom.llm.token_counts import count_tokens
+from textloom.llm.url_rules import filter_urls
 
 
 def tokenizer(name: str) -> str:
@@ -24,13 +28,80 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), stats_col="stats")
+    return out.select("doc_id", "stats.n_lines", "stats.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.sql("SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role FROM range(2)").withColumn("text", F.lit(hard))
+    return chat_digests(format_chats(turns_as_events(turns.unionByName(probe))))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_line_dedup": op3_line_dedup,
+    "op6_url_rules": op6_url_rules,
+    "op7_chat_format": op7_chat_format,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, i, parts[i] AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d, unnest(range(1, len(parts) + 1)) AS u(i)
+        ), windows AS (
+            SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(i, 1) OVER w AS i2, lead(i, 2) OVER w AS i3
+            FROM lines WHERE regexp_matches(line, '[^ \t-\r]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), later AS (
+            SELECT * FROM windows WHERE l3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) > 1
+        ), gone AS (
+            SELECT doc_id, i FROM later UNION SELECT doc_id, i2 FROM later UNION SELECT doc_id, i3 FROM later
+        )
+        SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+    """,
+    "op6_url_rules": r"""
+        WITH p AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), r(v, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+        SELECT page_id, host, path, h || q AS rule, coalesce(v, 'allow') AS verdict
+        FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC) = 1
+    """,
+    "op7_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+}
