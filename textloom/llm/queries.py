@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textloom.llm.chat import chat_digests, format_chats, turns_as_events
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.pieces import encoding_digests
+from textloom.llm.quality_classifier import classify_quality
+from textloom.llm.quality_rules import quality_rules
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.url_rules import filter_urls
 
@@ -33,6 +35,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "stats.n_lines", "stats.n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: (verdict, host, path)
 URL_RULES = [
     ("allow", "com", "/"),
@@ -54,6 +60,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns_as_events(turns.unionByName(probe))))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -61,8 +72,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_rules": op6_url_rules,
     "op7_chat_format": op7_chat_format,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
@@ -83,6 +96,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
     """,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_rules": r"""
         WITH p AS (
             SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
