@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from textloom.llm.common import materialize
+from textloom.plans.storage import materialize
 
 START, END = "<|im_start|>", "<|im_end|>"
 

@@ -1,12 +1,10 @@
-"""Session set-up, shared storage and Arrow plumbing of the training-data operators."""
+"""Session set-up and Arrow plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -40,43 +38,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is the cluster's to clean then
-        pass
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more, so disk use is that of one phase."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id`` (long) and ``text`` (null: empty); other columns, clashing names among them, never take part."""
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))

@@ -12,6 +12,7 @@ from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.pieces import encoding_digests
 from textloom.llm.quality_classifier import classify_quality
 from textloom.llm.quality_rules import quality_rules
+from textloom.llm.simhash import simhash_components
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.url_rules import filter_urls
 
@@ -30,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), stats_col="stats")
     return out.select("doc_id", "stats.n_lines", "stats.n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -71,6 +76,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_rules": op6_url_rules,
