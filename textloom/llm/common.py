@@ -43,7 +43,7 @@ def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

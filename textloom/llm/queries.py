@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.chat import chat_digests, format_chats, turns_as_events
+from textloom.llm.decontaminate import contaminated
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.pieces import encoding_digests
 from textloom.llm.quality_classifier import classify_quality
@@ -40,6 +41,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "stats.n_lines", "stats.n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_rules": op6_url_rules,
     "op7_chat_format": op7_chat_format,
