@@ -14,6 +14,7 @@ from textloom.llm.pieces import encoding_digests
 from textloom.llm.quality_classifier import classify_quality
 from textloom.llm.quality_rules import quality_rules
 from textloom.llm.simhash import simhash_components
+from textloom.llm.suffix_dedup import dedup_substrings, digest
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.url_rules import filter_urls
 
@@ -70,6 +71,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns_as_events(turns.unionByName(probe))))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_rules": op6_url_rules,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
