@@ -140,7 +140,8 @@ def quality_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     """
     rows = doc_rows(df, id_col, text_col)
     ids = trusted.select(trusted[trusted.columns[0]].cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct()
-    marked = rows.join(ids, rows.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
+    # always a sort-merge join: whether the ids would fit a broadcast changes with the corpus
+    marked = rows.hint("merge").join(ids, rows.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
     ratios = df.sparkSession.sparkContext.broadcast(log_ratios(*gram_counts(marked)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
