@@ -130,6 +130,29 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def ratios_of(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    rows = doc_rows(df, id_col, text_col)
+    ids = trusted.select(trusted[trusted.columns[0]].cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct()
+    # always a sort-merge join: whether the ids would fit a broadcast changes with the corpus
+    marked = rows.hint("merge").join(ids, rows.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
+    return log_ratios(*gram_counts(marked))
+
+
+def judged_texts(texts: list[bytes], ratio: np.ndarray) -> dict[str, np.ndarray]:
+    """The base counts and the score of each text."""
+    found: dict[str, list[np.ndarray]] = {c: [np.zeros(0)] for c in (*COUNTS, "score")}
+    for i, j in chunks(texts):
+        for c, v in base_counts(texts[i:j]).items():
+            found[c].append(v)
+        g, first = buckets(texts[i:j])
+        found["score"].append(sums(ratio[g], first) / np.maximum(np.diff(first), 1))
+    return {c: np.concatenate(v).astype(np.float64 if c == "score" else np.int64) for c, v in found.items()}
+
+
+def base_rules_fail(n_words, n_repeat_words):
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+
+
 def quality_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, the five base counts, ``base_failed, score, kept``.
 
@@ -138,25 +161,26 @@ def quality_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     count each; an empty table gives none; further columns are ignored. The documents are shuffled once, to meet the
     trusted ids; counts and scores are scans, and what is broadcast has a fixed size.
     """
-    rows = doc_rows(df, id_col, text_col)
-    ids = trusted.select(trusted[trusted.columns[0]].cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct()
-    # always a sort-merge join: whether the ids would fit a broadcast changes with the corpus
-    marked = rows.hint("merge").join(ids, rows.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
-    ratios = df.sparkSession.sparkContext.broadcast(log_ratios(*gram_counts(marked)))
+    ratios = df.sparkSession.sparkContext.broadcast(ratios_of(df, trusted, id_col, text_col))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = ratios.value
         for b in batches:
-            texts = [t.encode() for t in b.column(1).to_pylist()]
-            found: dict[str, list[np.ndarray]] = {c: [] for c in (*COUNTS, "score")}
-            for i, j in chunks(texts):
-                for c, v in base_counts(texts[i:j]).items():
-                    found[c].append(v)
-                g, first = buckets(texts[i:j])
-                found["score"].append(sums(ratio[g], first) / np.maximum(np.diff(first), 1))
-            whole = {c: np.concatenate(v) if v else np.zeros(0) for c, v in found.items()}
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(whole[c].astype(np.int64)) for c in COUNTS), pa.array(whole["score"].astype(np.float64))], ["doc_id", *COUNTS, "score"])
+            found = judged_texts([t.encode() for t in b.column(1).to_pylist()], ratios.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found.values())], ["doc_id", *found])
+
+    judged = arrow_map(doc_rows(df, id_col, text_col), judge, f"doc_id long, {', '.join(c + ' long' for c in COUNTS)}, score double")
+    judged = judged.withColumn("base_failed", base_rules_fail(F.col("n_words"), F.col("n_repeat_words")))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def keep_quality(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that quality_rules() keeps, all columns as they were. Rows are judged where they stand, so
+    nothing is joined back, and repeated and null ids don't matter."""
+    ratios = df.sparkSession.sparkContext.broadcast(ratios_of(df, trusted, id_col, text_col))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = judged_texts([(t or "").encode() for t in b.column(text_col).to_pylist()], ratios.value)
+            yield b.filter(pa.array(~base_rules_fail(found["n_words"], found["n_repeat_words"]) & (found["score"] >= threshold)))
 
-    judged = arrow_map(rows, judge, f"doc_id long, {', '.join(c + ' long' for c in COUNTS)}, score double")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return arrow_map(df, keep, df.schema)
