@@ -9,10 +9,11 @@ memory is bounded by the bucket. Of neighbours in the order that agree in LENGTH
 Dealing out single suffixes would move LENGTH times the corpus. Instead all strings whose least-hashed GRAM-byte gram (the
 anchor) is the same share a bucket, and neighbouring strings with one anchor travel as one *stretch* of text:
 
-1. anchors whose gram is found only once can't be in a repeated string; they are dropped before any text moves;
-2. equal stretches collapse: all but the earliest are removed whole, without being sorted;
-3. anchors with two or more different stretches are sorted, bucket by bucket;
-4. an anchor with very many different stretches is spread by the strings themselves: each is dealt by its own hash.
+1. of equal texts only the first is looked into: in the others every string is found earlier;
+2. anchors whose gram is found in one place only can't be in a repeated string; they are dropped before any text moves;
+3. equal stretches collapse: all but the earliest are removed whole, without being sorted;
+4. anchors with two or more different stretches are sorted, bucket by bucket;
+5. an anchor with very many different stretches is spread by the strings themselves: each is dealt by its own hash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map, chunks
-from textloom.llm.vector import U, mix
+from textloom.llm.vector import P, P_INVERSE, U, mix, powers
 from textloom.plans.storage import materialize, release
 
 LENGTH, GRAM = 100, 24
@@ -52,13 +53,13 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Stretches of all texts, in order: (text, first string's start, last string's start, anchor's place, its hash)."""
+    """Stretches of all texts, in order: (text, first string's start, last string's start, anchor's hash, stretch's hash)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - np.array([len(t) for t in texts], np.int64)
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U))
+        return _NOTHING
     w = words_at(data)
     g = len(data) - GRAM + 1
     h = np.full(g, 0x51ED270B, U)
@@ -78,13 +79,19 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     inside = np.arange(n) + LENGTH <= ends[text]
     at = np.flatnonzero(inside)
     if not len(at):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U))
+        return _NOTHING
     new = np.ones(len(at), bool)
     new[1:] = (place[at[1:]] != place[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    t, p = text[at[first]], place[at[first]]
-    return t, at[first] - starts[t], at[last] - starts[t], p - starts[t], h[p]
+    t, a, z = text[at[first]], at[first], at[last]
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * powers(P, len(data)), out=total[1:])
+    content = mix((total[z + LENGTH] - total[a]) * powers(P_INVERSE, len(data))[a] + (z - a).astype(U))
+    return t, a - starts[t], z - starts[t], h[place[a]], content
+
+
+_NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
 
 
 def pieces(texts: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
@@ -101,12 +108,12 @@ def pieces(texts: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
 
 
 def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """anchors() of texts of any length, in bounded memory."""
+    """anchors() of texts of any length, in bounded memory, with the number of a piece behind that of its text."""
     parts, of, at = pieces(texts)
     for i, j in chunks(parts):
-        t, a, z, p, h = anchors(parts[i:j])
+        t, a, z, h, s = anchors(parts[i:j])
         shift = np.array(at[i:j], np.int64)[t]
-        yield np.array(of[i:j], np.int64)[t], a + shift, z + shift, p + shift, h
+        yield np.array(of[i:j], np.int64)[t], t, a + shift, z + shift, h, s
 
 
 # --- sorting a bucket
@@ -218,46 +225,49 @@ def repeated(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[t
 # --- the operator
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        key = np.asarray(b.column(0))
-        for t, _, _, p, h in stretches(texts):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[t]), pa.array(p)], ["h", "key", "p"])
-
-
 def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the anchors that are left; one that its own text has shown before needs no text."""
-    for b in batches:
-        ids, keys, texts, left = (b.column(i).to_pylist() for i in range(4))
-        rows = []
-        for doc_id, key, text, places in zip(ids, keys, texts, left, strict=True):
-            places = np.array(places, np.int64)
-            seen: set[bytes] = set()
-            for _, a, z, p, h in stretches([text]):
-                k = np.flatnonzero(np.isin(p, places))
-                for first, last, hh in zip(a[k].tolist(), z[k].tolist(), h[k].view(np.int64).tolist(), strict=True):
-                    s = text[first : last + LENGTH]
-                    rows.append((doc_id, key, first, last + LENGTH, hh, None if s in seen else s))
-                    seen.add(s)
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(columns)], ["id", "key", "b", "e", "h", "s"])
+    """Rows (th, n, text) -> (h, s, th, n, b, e): each different stretch of a piece of text once, where it is found
+    first; and with null s (and th for h) what the others of the piece cover, which are found earlier there."""
+    for batch in batches:
+        th, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for t, piece, a, z, h, s in stretches(batch.column(2).to_pylist()):
+            e = z + LENGTH
+            _, first = np.unique(mix(mix(h ^ s) + s + piece.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
+            again = np.ones(len(t), bool)
+            again[first] = False
+            k, r = np.flatnonzero(~again), np.flatnonzero(again)
+            lt, lb, le = t[r], a[r], e[r]
+            new = np.ones(len(r), bool)
+            new[1:] = (lt[1:] != lt[:-1]) | (lb[1:] > le[:-1])
+            begin = np.flatnonzero(new)
+            lt, lb, le = lt[begin], lb[begin], le[np.append(begin[1:], len(r))[: len(begin)] - 1]
+            of, none = np.append(t[k], lt), np.append(np.zeros(len(k), bool), np.ones(len(lt), bool))
+            columns = [np.append(h[k].view(np.int64), th[lt]), np.append(s[k].view(np.int64), np.zeros(len(lt), np.int64)), th[of], n[of], np.append(a[k], lb), np.append(e[k], le)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=none if i == 1 else None) for i, c in enumerate(columns)], ["h", "s", "th", "n", "b", "e"])
+
+
+def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, th, n, text, array of (h, kinds, b, e)) -> (h, kinds, id, th, n, b, stretch)."""
+    for batch in batches:
+        rows = [(w["h"], w["kinds"], i, th, n, w["b"], text[w["b"] : w["e"]]) for i, th, n, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in wanted]
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], ["h", "kinds", "id", "th", "n", "b", "stretch"])
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, id, key, b, s), sorted by h: whole anchors are gathered into buckets of about BUCKET bytes."""
+    """Rows (h, id, th, b, stretch, n), sorted by h: whole anchors are gathered into buckets of about BUCKET bytes."""
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
         docs = {d: i for i, d in enumerate(sorted({(r[1], r[2]) for r in rows}))}
         doc = np.array([docs[r[1], r[2]] for r in rows], np.int64)
         found = repeated([r[4] for r in rows], doc, np.array([r[3] for r in rows], np.int64))
-        columns = [[rows[s][1] for s, _, _ in found], [rows[s][2] for s, _, _ in found], [b for _, b, _ in found], [e for _, _, e in found]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "key", "b", "e"])
+        columns = [[rows[s][2] for s, _, _ in found], [rows[s][5] for s, _, _ in found], [b for _, b, _ in found], [e for _, _, e in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["th", "n", "b", "e"])
 
     held: list[tuple] = []
     size = 0
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size >= BUCKET and row[0] != held[-1][0]:
                 yield judged(held)
                 held, size = [], 0
@@ -268,25 +278,23 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for batch in batches:
         rows = []
-        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            kept, upto, removed, n = [], 0, 0, 0
-            end = 0
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            kept, end, removed, n = [], 0, 0, 0
             for s in sorted((s["b"], s["e"]) for s in spans or []):
                 if n == 0 or s[0] > end:
-                    kept.append(text[upto : s[0]])
+                    kept.append(text[end : s[0]])
                     n += 1
                     removed += s[1] - s[0]
                     end = s[1]
                 elif s[1] > end:
                     removed += s[1] - end
                     end = s[1]
-                upto = end
-            kept.append(text[upto:])
+            kept.append(text[end:])
             rows.append((len(text), removed, n, b"".join(kept)))
         size, removed, n, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,56 +304,62 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its own; strings never cross texts. Strings are judged on the input. Null texts are empty; a null id sorts as the
     least long. Rows of one id with different texts are ordered by a hash of the text; rows of equal id and text are one
     place, so they lose the same bytes and none because of each other. An empty table gives no rows; further columns are
-    ignored. Cuts may fall inside a character, hence the binary result.
+    ignored. Cuts may fall inside a character, hence the binary result. Texts are told apart by a 64-bit hash and their
+    length, stretches by 128 bits of hash.
     """
     spark = df.sparkSession
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(df[id_col].cast("long"), text).alias("key"), text.cast("binary").alias("text"))
-
-    # 1. anchors found more than once, by document
-    found = arrow_map(docs.select("key", "text"), _emit_anchors, "h long, key long, p long")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    left = materialize(found.join(again.hint("merge"), "h", "left_semi").groupBy("key").agg(F.collect_list("p").alias("p")))
+    doc_id = df[id_col].cast("long")
+    docs = df.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
+    same_text = ["th", "n"]
+    # 1. of equal texts only the one of the least id is looked into; in the others every string is found earlier
+    texts = materialize(docs.groupBy(*same_text).agg(F.min("id").alias("id")))
+
+    # 2. stretches of the anchors that are found in more than one place
+    found = arrow_map(docs.where(F.col("n") >= LENGTH).select(*same_text, "text"), _emit_stretches, "h long, s long, th long, n long, b long, e long")
+    where_found = F.xxhash64("th", "n", "s", "b")
+    again = found.where("s IS NOT NULL").groupBy("h").agg(F.min(where_found).alias("x"), F.max(where_found).alias("y")).where("x <> y").select(F.col("h").alias("again"))
+    left = found.join(again.hint("merge"), F.col("h") == F.col("again"), "left").where("s IS NULL OR again IS NOT NULL").drop("again")
+    left = materialize(left)
     del found, again
     release(spark)
+    spans = left.where("s IS NULL").select(*same_text, "b", "e")
 
-    # their stretches of text
-    with_left = docs.hint("merge").join(left.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("id", "key", "text", "p")
-    whole = arrow_map(with_left, _emit_stretches, "id long, key long, b long, e long, h long, s binary")
-    whole = materialize(whole.select("*", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(1), "s").alias("s2")))
-    del with_left
-    release(spark)
+    # 3. equal stretches
+    shown = left.where("s IS NOT NULL").join(texts.hint("merge"), same_text)
+    place = F.struct("id", "th", "b")
+    firsts = materialize(shown.groupBy("h", "s").agg(F.min(F.struct("id", "th", "b", "n", "e")).alias("first")))
+    later = shown.join(firsts.hint("merge"), ["h", "s"]).where(place != F.struct("first.id", "first.th", "first.b")).select(*same_text, "b", "e")
 
-    # 2. equal stretches
-    place = F.struct("id", "key", "b")
-    shown = whole.where("s IS NOT NULL")
-    firsts = shown.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.min("h").alias("h"))
+    # 4. the texts of stretches that share their anchor with others, once each; sorted in buckets
     kinds = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    spans = [whole.where("s IS NULL").select("id", "key", "b", "e")]
-    meet = shown.select("id", "key", "b", "e", "s1", "s2").hint("merge").join(firsts.select("s1", "s2", "first"), ["s1", "s2"])
-    spans.append(meet.where(place != F.col("first")).select("id", "key", "b", "e"))
-
-    # 3. and 4. anchors with different stretches
-    one = firsts.join(kinds.hint("merge"), "h").select("s1", "s2", "first", "kinds")
-    texts = shown.select("h", "id", "key", "b", "s", "s1", "s2").hint("merge").join(one, ["s1", "s2"]).where(place == F.col("first")).select("h", "id", "key", "b", "s", "kinds")
-    texts = materialize(texts.dropDuplicates(["h", "id", "key", "b"]))
-    dealt = texts.where(F.col("kinds") <= MOST_STRETCHES).select("h", "id", "key", "b", "s").repartition("h").sortWithinPartitions("h", "id", "key", "b")
-    spans.append(arrow_map(dealt, _sort_buckets, "id long, key long, b long, e long"))
-    single = texts.where(F.col("kinds") > MOST_STRETCHES).select("id", "key", "b", "s", F.explode(F.sequence(F.lit(0), F.octet_length("s") - LENGTH)).alias("i"))
-    string = F.expr(f"substring(s, i + 1, {LENGTH})")
-    single = single.select("id", "key", (F.col("b") + F.col("i")).alias("b"), F.xxhash64(string).alias("s1"), F.xxhash64(F.lit(1), string).alias("s2"))
+    wanted = firsts.join(kinds.hint("merge"), "h").select("h", "kinds", "first.*")
+    wanted = wanted.groupBy("id", *same_text).agg(F.collect_list(F.struct("h", "kinds", "b", "e")).alias("wanted"))
+    read = docs.select("id", *same_text, "text").hint("merge").join(wanted, ["id", *same_text])
+    read = read.select("id", *same_text, "text", "wanted")
+    stretch = materialize(arrow_map(read, _emit_texts, "h long, kinds long, id long, th long, n long, b long, stretch binary"))
+    del read, wanted, kinds
+    release(spark)
+    dealt = stretch.where(F.col("kinds") <= MOST_STRETCHES).select("h", "id", "th", "b", "stretch", "n").repartition("h").sortWithinPartitions("h", "id", "th", "b")
+    sorted_out = arrow_map(dealt, _sort_buckets, "th long, n long, b long, e long")
+
+    # 5. an anchor with too many different stretches for a bucket: its strings are dealt by their own hash
+    single = stretch.where(F.col("kinds") > MOST_STRETCHES).select("id", *same_text, "b", "stretch", F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - LENGTH)).alias("i"))
+    string = F.expr(f"substring(stretch, i + 1, {LENGTH})")
+    single = single.select("id", *same_text, (F.col("b") + F.col("i")).alias("b"), F.xxhash64(string).alias("s1"), F.xxhash64(F.lit(1), string).alias("s2"))
     least = single.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("s1", "s2", "first")
-    spans.append(single.join(least.hint("merge"), ["s1", "s2"]).where(place != F.col("first")).select("id", "key", "b", (F.col("b") + LENGTH).alias("e")))
+    dealt_out = single.join(least.hint("merge"), ["s1", "s2"]).where(place != F.col("first")).select(*same_text, "b", (F.col("b") + LENGTH).alias("e"))
 
-    gone = spans[0]
-    for s in spans[1:]:
-        gone = gone.unionByName(s)
-    gone = materialize(gone.groupBy("id", "key").agg(F.collect_set(F.struct("b", "e")).alias("spans")))
-    del spans, firsts, kinds, meet, one, texts, dealt, single, least
+    # 6. cut
+    gone = spans.unionByName(later).unionByName(sorted_out).unionByName(dealt_out)
+    gone = gone.groupBy(*same_text).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    judged = materialize(texts.hint("merge").join(gone, same_text, "left").select(F.col("th").alias("t_th"), F.col("n").alias("t_n"), F.col("id").alias("first_id"), "spans"))
+    del spans, later, dealt, sorted_out, single, least, dealt_out, gone, shown, firsts, left
     release(spark)
-    gone = gone.withColumnsRenamed({"id": "g_id", "key": "g_key"})
-    out = docs.hint("merge").join(gone, (F.col("id") == F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
-    return arrow_map(out.select("doc_id", "text", "spans"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = docs.hint("merge").join(judged, (F.col("th") == F.col("t_th")) & (F.col("n") == F.col("t_n")))
+    whole = F.when(F.col("n") >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))))
+    spans = F.when(F.col("id") == F.col("first_id"), F.col("spans")).otherwise(whole)
+    return arrow_map(out.select("doc_id", "text", spans.alias("spans")), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(df: DataFrame) -> DataFrame:
