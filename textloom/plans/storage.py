@@ -1,15 +1,35 @@
-"""Shared storage for intermediate results. Executors may be lost at any time, so nothing is kept on one machine."""
+"""Shared storage for intermediate results, and shipping of the package. Executors may be lost at any time, so nothing is
+kept on one machine."""
 
 from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: Python functions in plans refer to it by name."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        path = os.path.join(tempfile.mkdtemp(prefix="textloom-"), "textloom_pkg.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
     sc = spark.sparkContext
