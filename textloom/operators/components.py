@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,17 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     else:
         raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node reachable from each of the nodes 0 .. n-1 over the edges i-j: for a small graph within one task."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
