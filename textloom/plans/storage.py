@@ -4,7 +4,6 @@ kept on one machine."""
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -47,11 +46,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: With it Spark removes the shuffle files of an execution when that ends, not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, and columns can be pruned."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, columns can be pruned, and the
+    shuffle files of the write are gone when it returns, so disk use is that of one phase."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,9 +71,3 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # noqa: BLE001  the session may have ended; what is left in the folder is the cluster's to clean
         pass
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more, so disk use is that of one phase."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
