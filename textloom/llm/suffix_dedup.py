@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map, chunks
 from textloom.llm.vector import P, P_INVERSE, U, mix, powers
-from textloom.plans.storage import materialize, release
+from textloom.plans.storage import materialize
 
 LENGTH, GRAM = 100, 24
 #: Grams of a string.
 SPAN = LENGTH - GRAM + 1
 #: A difference cover: every residue modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Stretches of one anchor beyond which its strings are dealt one by one, and bytes of text sorted together.
-MOST_STRETCHES, BUCKET = 2_000, 1 << 20
+#: Bytes of text that are gathered for one sort, and the stretches of one anchor that a sort can hold (in four times the
+#: bytes, at their greatest length); the strings of an anchor with more are dealt one by one.
+BUCKET = 1 << 20
+MOST_STRETCHES = 4 * BUCKET // (LENGTH + SPAN - 1)
 #: Longer texts are read in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 4 << 20
 PLACE_BITS = 24
@@ -307,7 +309,6 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored. Cuts may fall inside a character, hence the binary result. Texts are told apart by a 64-bit hash and their
     length, stretches by 128 bits of hash.
     """
-    spark = df.sparkSession
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     doc_id = df[id_col].cast("long")
     docs = df.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
@@ -321,8 +322,6 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.where("s IS NOT NULL").groupBy("h").agg(F.min(where_found).alias("x"), F.max(where_found).alias("y")).where("x <> y").select(F.col("h").alias("again"))
     left = found.join(again.hint("merge"), F.col("h") == F.col("again"), "left").where("s IS NULL OR again IS NOT NULL").drop("again")
     left = materialize(left)
-    del found, again
-    release(spark)
     spans = left.where("s IS NULL").select(*same_text, "b", "e")
 
     # 3. equal stretches
@@ -338,8 +337,6 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select("id", *same_text, "text").hint("merge").join(wanted, ["id", *same_text])
     read = read.select("id", *same_text, "text", "wanted")
     stretch = materialize(arrow_map(read, _emit_texts, "h long, kinds long, id long, th long, n long, b long, stretch binary"))
-    del read, wanted, kinds
-    release(spark)
     dealt = stretch.where(F.col("kinds") <= MOST_STRETCHES).select("h", "id", "th", "b", "stretch", "n").repartition("h").sortWithinPartitions("h", "id", "th", "b")
     sorted_out = arrow_map(dealt, _sort_buckets, "th long, n long, b long, e long")
 
@@ -354,8 +351,6 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = spans.unionByName(later).unionByName(sorted_out).unionByName(dealt_out)
     gone = gone.groupBy(*same_text).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     judged = materialize(texts.hint("merge").join(gone, same_text, "left").select(F.col("th").alias("t_th"), F.col("n").alias("t_n"), F.col("id").alias("first_id"), "spans"))
-    del spans, later, dealt, sorted_out, single, least, dealt_out, gone, shown, firsts, left
-    release(spark)
     out = docs.hint("merge").join(judged, (F.col("th") == F.col("t_th")) & (F.col("n") == F.col("t_n")))
     whole = F.when(F.col("n") >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))))
     spans = F.when(F.col("id") == F.col("first_id"), F.col("spans")).otherwise(whole)
