@@ -1,0 +1,115 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from tests.llm import hard
+from textloom.llm import suffix_dedup as S
+
+
+def plain(rows, n=100):
+    """(id, bytes), ids unique -> id -> (bytes, removed, spans, digest of what is left)."""
+    first, out = {}, {}
+    rows = sorted(rows)
+    for i, t in rows:
+        for k in range(len(t) - n + 1):
+            first.setdefault(t[k : k + n], (i, k))
+    for i, t in rows:
+        gone = np.zeros(len(t) + 2, bool)
+        for k in range(len(t) - n + 1):
+            if first[t[k : k + n]] != (i, k):
+                gone[k + 1 : k + n + 1] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone[1 : len(t) + 1]]) if t else b""
+        out[i] = (len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def corpus(n=120, seed=4):
+    r = random.Random(seed)
+    words = [f"w{i}é"[: r.randint(2, 7)] for i in range(400)]
+    base = [" ".join(r.choices(words, k=r.randint(5, 120))) for _ in range(20)]
+    docs = []
+    for i in range(n):
+        parts = [r.choice(base) if r.random() < 0.6 else " ".join(r.choices(words, k=r.randint(1, 40))) for _ in range(r.randint(0, 5))]
+        t = r.choice([" ", "\n", ""]).join(parts)
+        if r.random() < 0.15:
+            t = "ab" * r.randint(10, 200) + t
+        if r.random() < 0.1:
+            t = r.choice(["x", "yz ", "Thhaen "]) * r.randint(30, 300)
+        if parts and r.random() < 0.3:
+            t = t[: len(t) // 2] + "!" + t[len(t) // 2 :]
+        docs.append((i, t))
+    return docs
+
+
+def run(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(S.dedup_substrings(df)).collect()}
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_against_plain(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST_STRETCHES", most)  # small: strings of frequent anchors are dealt one by one
+    docs = corpus()
+    assert run(spark, docs) == plain([(i, t.encode()) for i, t in docs])
+
+
+def test_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert run(spark, docs) == plain([(i, t.encode()) for i, t in docs])
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    text = " ".join(random.Random(1).choices([f"word{i}" for i in range(200)], k=3000)).encode()
+    strings = lambda: {(int(k), hex(h)) for _, _, a, z, hs, _ in S.stretches([text]) for f, l, h in zip(a, z, hs, strict=True) for k in range(f, l + 1)}
+    whole = strings()
+    monkeypatch.setattr(S, "PIECE", 500)
+    assert strings() == whole and len(whole) == len(text) - 99
+
+
+def test_equal_strings_have_equal_anchors():
+    r = random.Random(2)
+    shared = bytes(r.choices(b"abc ", k=400))
+    of = {}
+    for i in range(5):
+        text = bytes(r.choices(b"xyz", k=r.randint(0, 200))) + shared + bytes(r.choices(b"xyz", k=50))
+        for _, _, a, z, hs, _ in S.stretches([text]):
+            for f, l, h in zip(a, z, hs, strict=True):
+                for k in range(f, l + 1):
+                    of.setdefault(text[k : k + 100], set()).add(int(h))
+    assert all(len(v) == 1 for v in of.values())
+
+
+def test_cover_and_order():
+    assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
+    r = random.Random(3)
+    data = np.frombuffer(bytes(r.choices(b"ab", k=300)) * 3 + b"ab" * 200 + bytes(S.LENGTH + S.PERIOD), np.uint8)
+    starts = np.arange(len(data) - S.LENGTH - S.PERIOD)
+    order, same = S.sorted_suffixes(data, starts)
+    key = [bytes(data[k : k + 100]) for k in order.tolist()]
+    assert key == sorted(key) and sorted(order.tolist()) == starts.tolist()
+    assert same.tolist() == [False] + [a == b for a, b in zip(key, key[1:], strict=False)]
+
+
+def test_hard_documents(spark):
+    df = hard.frame(spark)
+    out = S.dedup_substrings(df).collect()
+    rows = [(i, t or "") for i, t, *_ in hard.documents()]
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r.doc_id, r.n_bytes) for r in out), key=key) == sorted(((i, len(t.encode())) for i, t in rows), key=key)
+    six = [r for r in out if r.doc_id is not None and r.n_bytes and r.doc_id == rows[0][0]]
+    assert len({(r.n_bytes, r.n_removed) for r in six}) <= len(six)
+    copies = {r.doc_id: r.n_removed for r in out if r.doc_id in (50, 51)}
+    assert all(v in (0, next(r.n_bytes for r in out if r.doc_id == k)) for k, v in copies.items())
+    assert S.dedup_substrings(hard.empty(spark)).count() == 0
+
+
+def test_repeated_rows_are_one_place(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    out = run(spark, [(1, text)])
+    twice = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_removed) for r in S.dedup_substrings(twice).collect()), key=str)
+    assert out[1][1] == 0
+    assert got == sorted([(1, len(text)), (1, len(text)), (None, 0), (2, len(text))], key=str)  # a null id is the least
+    assert [r.n_removed for r in S.dedup_substrings(twice.where("doc_id = 1")).collect()] == [0, 0]
