@@ -1,41 +1,27 @@
-"""Session set-up and Arrow plumbing of the training-data operators."""
+"""Arrow plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.plans.storage import ship
+
 #: Rows and bytes of one Arrow batch. Texts reach 100 KB and more, so the default of 10,000 rows could take a worker's
 #: memory; both bounds hold at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-_SHIPPED: set[str] = set()
-
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, and send this package to the executors once per application."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with bounded batches, the package being with the executors."""
+    spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        path = os.path.join(tempfile.mkdtemp(prefix="textloom-"), "textloom_pkg.zip")
-        Path(path).write_bytes(buffer.getvalue())
-        spark.sparkContext.addPyFile(path)
-        _SHIPPED.add(app)
-    return spark
+    ship(spark)
+    return df.mapInArrow(fn, schema)
 
 
 def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,11 +29,6 @@ def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
-
-
 def hex_of(unsigned: Column) -> Column:
     return F.lower(F.lpad(F.hex(unsigned), 16, "0"))
 
