@@ -20,6 +20,7 @@ from textloom.operators import profile as P
 from textloom.operators import retrieval as R
 from textloom.operators import split as S
 from textloom.operators import training as T
+from textloom.plans.audit import audit_summary as summary
 from textloom.plans.storage import materialize
 from textloom.sources.readers import latest_checkpoint, with_position
 from textloom.sources.writers import ledger_rows, split_ledger_row
@@ -153,6 +154,12 @@ def cross_split_pairs(spark, sf_dir):
     return D.overlap_pairs(test, train, "text", "doc_id").select("test_id", F.array_join("train_ids", ",").alias("train_ids"))
 
 
+@query
+def audit_summary(spark, sf_dir):
+    test, train = sides(spark, sf_dir)
+    return summary(train, test, "text", "source", "doc_id")
+
+
 # --- near duplicates
 
 
@@ -405,6 +412,12 @@ ORACLE_SQL |= {
     "duplicate_counts": "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents) x) AS full_row_duplicates, count(*) - count(DISTINCT coalesce(text, '')) AS prompt_duplicates FROM documents",
     "duplicate_groups": GROUPS.format(T_NORM),
     "conflicting_groups": GROUPS.format("text") + " AND count(DISTINCT coalesce(source, '')) > 1",
+    "audit_summary": """WITH tr AS (SELECT doc_id, text, source FROM documents WHERE doc_id % 10 <> 0), te AS (SELECT doc_id, text, source FROM documents WHERE doc_id % 10 = 0),
+        g AS (SELECT count(DISTINCT coalesce(source, '')) AS r FROM tr WHERE text <> '' GROUP BY text HAVING count(*) > 1)
+        SELECT (SELECT count(*) FROM tr) AS train_rows, (SELECT count(*) FROM te) AS test_rows,
+        (SELECT count(*) FROM tr) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tr) x) AS train_full_row_duplicates, (SELECT count(*) - count(DISTINCT coalesce(text, '')) FROM tr) AS train_prompt_duplicates,
+        (SELECT count(*) FROM te) - (SELECT count(*) FROM (SELECT DISTINCT * FROM te) x) AS test_full_row_duplicates, (SELECT count(*) - count(DISTINCT coalesce(text, '')) FROM te) AS test_prompt_duplicates,
+        (SELECT count(*) FROM te WHERE text IN (SELECT text FROM tr WHERE text <> '')) AS exact_overlap_rows, (SELECT count(*) FROM g) AS duplicate_prompt_groups, (SELECT count(*) FROM g WHERE r > 1) AS conflicting_prompt_groups""",
     "unique_prompt_rows": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1",
     "cross_split_overlap": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND text <> '' AND text IN (SELECT text FROM documents WHERE doc_id % 10 <> 0)",
     "cross_split_pairs": "SELECT a.doc_id AS test_id, array_to_string(list_sort(list(b.doc_id))[1:10], ',') AS train_ids FROM documents a JOIN documents b USING (text) WHERE a.doc_id % 10 = 0 AND b.doc_id % 10 <> 0 AND text <> '' GROUP BY a.doc_id",
