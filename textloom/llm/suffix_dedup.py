@@ -317,7 +317,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = materialize(docs.groupBy(*same_text).agg(F.min("id").alias("id")))
 
     # 2. stretches of the anchors that are found in more than one place
-    found = arrow_map(docs.where(F.col("n") >= LENGTH).select(*same_text, "text"), _emit_stretches, "h long, s long, th long, n long, b long, e long")
+    # kept, as it is read twice: to count anchors, and to pick stretches
+    found = materialize(arrow_map(docs.where(F.col("n") >= LENGTH).select(*same_text, "text"), _emit_stretches, "h long, s long, th long, n long, b long, e long"))
     where_found = F.xxhash64("th", "n", "s", "b")
     again = found.where("s IS NOT NULL").groupBy("h").agg(F.min(where_found).alias("x"), F.max(where_found).alias("y")).where("x <> y").select(F.col("h").alias("again"))
     left = found.join(again.hint("merge"), F.col("h") == F.col("again"), "left").where("s IS NULL OR again IS NOT NULL").drop("again")
