@@ -62,7 +62,15 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEAN_UP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what materialize() has written, once no plan that is still to run reads it."""
+    for t in tables:
+        _remove(t.sparkSession, t.materialized_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
