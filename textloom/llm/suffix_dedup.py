@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map, chunks
 from textloom.llm.vector import P, P_INVERSE, U, mix, powers
-from textloom.plans.storage import materialize
+from textloom.plans.storage import discard, materialize
 
 LENGTH, GRAM = 100, 24
 #: Grams of a string.
@@ -323,6 +323,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.where("s IS NOT NULL").groupBy("h").agg(F.min(where_found).alias("x"), F.max(where_found).alias("y")).where("x <> y").select(F.col("h").alias("again"))
     left = found.join(again.hint("merge"), F.col("h") == F.col("again"), "left").where("s IS NULL OR again IS NOT NULL").drop("again")
     left = materialize(left)
+    discard(found)
     spans = left.where("s IS NULL").select(*same_text, "b", "e")
 
     # 3. equal stretches
@@ -352,6 +353,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = spans.unionByName(later).unionByName(sorted_out).unionByName(dealt_out)
     gone = gone.groupBy(*same_text).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     judged = materialize(texts.hint("merge").join(gone, same_text, "left").select(F.col("th").alias("t_th"), F.col("n").alias("t_n"), F.col("id").alias("first_id"), "spans"))
+    discard(left, firsts, stretch, texts)
     out = docs.hint("merge").join(judged, (F.col("th") == F.col("t_th")) & (F.col("n") == F.col("t_n")))
     whole = F.when(F.col("n") >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))))
     spans = F.when(F.col("id") == F.col("first_id"), F.col("spans")).otherwise(whole)
