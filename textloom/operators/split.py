@@ -12,7 +12,6 @@ from pyspark.sql.window import Window as W
 
 from textloom.functions import text as X
 from textloom.functions.constants import SEED, VALIDATION_RATIO
-from textloom.operators.duplicates import exact_components
 from textloom.plans.storage import materialize
 from textloom.sources.readers import with_position
 
@@ -24,24 +23,30 @@ def shuffle_key(key: Column | str, seed: int = SEED) -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(f"-{seed}")))
 
 
-def length_edges(df: DataFrame, column: str) -> DataFrame:
-    """One row ``low, short_medium, medium_long, high``: exact 1/3 and 2/3 quantiles of the normalized length."""
-    n = F.length(X.normalized(column))
-    q = df.agg(F.min(n).alias("low"), F.percentile(n, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.max(n).alias("high"))
+def prompt_facts(df: DataFrame, column: str, key: str) -> DataFrame:
+    """``id, digest, length`` of the normalized texts: all that a split needs, a few bytes a row, and read only once."""
+    t = X.normalized(column)
+    return materialize(df.select(F.col(key).alias("id"), F.sha2(t, 256).alias("digest"), F.length(t).alias("length")))
+
+
+def length_edges(facts: DataFrame) -> DataFrame:
+    """One row ``low, short_medium, medium_long, high``: exact 1/3 and 2/3 quantiles of the length."""
+    q = facts.agg(F.min("length").alias("low"), F.percentile("length", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.max("length").alias("high"))
     return q.select("low", F.get("q", F.lit(0)).alias("short_medium"), F.get("q", F.lit(1)).alias("medium_long"), "high")
 
 
-def length_tertiles(df: DataFrame, column: str, key: str) -> DataFrame:
+def tertiles(facts: DataFrame) -> DataFrame:
     """``id, length, label``: right-closed thirds by the quantile edges; where edges collapse, thirds by rank."""
-    rows = df.select(F.col(key).alias("id"), F.length(X.normalized(column)).alias("length"))
-    edges = length_edges(df, column)
-    e = edges.first()
+    e = length_edges(facts).first()
     if e["low"] is None or e["low"] < e["short_medium"] < e["medium_long"] < e["high"]:
-        label = F.when(F.col("length") <= F.col("short_medium"), LABELS[0]).when(F.col("length") <= F.col("medium_long"), LABELS[1]).otherwise(LABELS[2])
-        return rows.crossJoin(F.broadcast(edges)).select("id", "length", label.alias("label"))
-    n = rows.count()
-    third = F.floor(F.col("position") * 3 / n)
-    return with_position(rows, "length", "id").select("id", "length", F.get(F.array(*map(F.lit, LABELS)), third.cast("int")).alias("label"))
+        label = F.when(F.col("length") <= F.lit(e["short_medium"]), LABELS[0]).when(F.col("length") <= F.lit(e["medium_long"]), LABELS[1]).otherwise(LABELS[2])
+        return facts.select("id", "length", label.alias("label"))
+    third = F.floor(F.col("position") * 3 / facts.count())
+    return with_position(facts.select("id", "length"), "length", "id").select("id", "length", F.get(F.array(*map(F.lit, LABELS)), third.cast("int")).alias("label"))
+
+
+def length_tertiles(df: DataFrame, column: str, key: str) -> DataFrame:
+    return tertiles(prompt_facts(df, column, key))
 
 
 def component_table(labelled: DataFrame, components: DataFrame) -> DataFrame:
@@ -62,8 +67,11 @@ def quotas(table: DataFrame, ratio: float) -> DataFrame:
 def split_assign(df: DataFrame, prompt: str, key: str, ratio: float = VALIDATION_RATIO, seed: int = SEED, components: DataFrame | None = None) -> DataFrame:
     """``id, component, label, side``: rows of one component (equal normalized prompts unless given) stay together, and
     each length stratum gives its quota of components to validation."""
-    components = exact_components(df, prompt, key) if components is None else components
-    table = materialize(component_table(length_tertiles(df, prompt, key), components))
+    facts = prompt_facts(df, prompt, key)
+    if components is None:
+        least = facts.groupBy("digest").agg(F.min("id").alias("component"))
+        components = facts.join(least, "digest").select("id", "component")
+    table = materialize(component_table(tertiles(facts), components))
     ordered = with_position(table.select("component", "label", shuffle_key("component", seed).alias("h")), "label", "h", "component")
     first = ordered.groupBy("label").agg(F.min("position").alias("first"))
     sides = ordered.join(F.broadcast(first), "label").join(F.broadcast(quotas(table, ratio)), "label")
