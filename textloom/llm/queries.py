@@ -114,7 +114,6 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
     """,
-    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_rules": r"""
         WITH p AS (
             SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
