@@ -253,6 +253,16 @@ def test_dense(spark):
     assert got == dict(enumerate(sims.argmax(axis=1).tolist()))
 
 
+def test_models_by_interface(spark):
+    texts = frame(spark, [(1, "aa"), (2, "bbb"), (3, None)], "id long, t string")
+    v = R.embedded(texts, "t", "id", lambda ts: [[float(len(t)), 1.0] for t in ts])
+    assert {r.id: r.v for r in v.collect()} == {1: [2.0, 1.0], 2: [3.0, 1.0], 3: [0.0, 1.0]}
+    assert {r.query_id: r.doc_id for r in R.dense_top1(v, v, "id", "v").collect()} == {1: 1, 2: 2, 3: 3}
+    df = frame(spark, [(1, "aaaa", "bb", False), (2, "a", "bb", False)], "query_id long, prediction string, target string, is_fallback boolean")
+    r = M.evaluate(df, "M", scorer=lambda p, t: [len(a) / 10 for a in p]).first()
+    assert r.bert_score_f1 == pytest.approx(0.25) and not r.bert_score_is_proxy and r.ms_per_query is None
+
+
 # --- splits
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
 from textloom.functions import text as X
+from textloom.operators.split import evenly_spaced
 from textloom.plans.storage import ship
 
 #: Texts on which the costly score is computed at most, evenly spaced.
@@ -67,21 +71,37 @@ def reuse_rate(predictions: DataFrame, prediction: str = "prediction") -> DataFr
     return upto.agg(F.coalesce(F.max("k"), F.lit(0)).alias("unique_responses_retrieved"), F.coalesce(F.try_divide(F.sum(taken * F.col("c")), F.max("n")), F.lit(0.0)).alias("top_10_response_reuse_rate"))
 
 
-def evaluate(pairs: DataFrame, method: str, seconds: float | None = None, key: str = "query_id", fallback: str = "is_fallback") -> DataFrame:
-    """One row, the record of a method on ``key, prediction, target, is_fallback``. The model-based score is not available
-    here and is stood in for by the mean ROUGE-L F1, which ``bert_score_is_proxy`` says."""
+Scorer = Callable[[list[str], list[str]], list[float]]
+
+
+def model_score(pairs: DataFrame, scorer: Scorer, key: str = "query_id", most: int = SCORED) -> DataFrame:
+    """One row ``bert_score_f1``: the mean of a model's score over at most ``most`` evenly spaced pairs."""
+    ship(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(scorer(b.column(0).to_pylist(), b.column(1).to_pylist()), pa.float64())], ["s"])
+
+    rows = evenly_spaced(pairs.select(key, "prediction", "target"), key, most)
+    return rows.select(X.filled("prediction"), X.filled("target")).mapInArrow(run, "s double").agg(F.avg("s").alias("bert_score_f1"))
+
+
+def evaluate(pairs: DataFrame, method: str, seconds: float | None = None, key: str = "query_id", fallback: str = "is_fallback", scorer: Scorer | None = None) -> DataFrame:
+    """One row, the record of a method on ``key, prediction, target, is_fallback``. Without a ``scorer`` the model-based
+    score is stood in for by the mean ROUGE-L F1, which ``bert_score_is_proxy`` says."""
     lengths = pairs.agg(
         F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.avg(F.col(fallback).cast("int")), F.lit(0.0)).alias("fallback_rate"),
         F.avg(X.n_chars("prediction")).alias("retrieved_length_mean_chars"), F.percentile(X.n_chars("prediction"), F.lit(0.5)).alias("retrieved_length_median_chars"),
         F.avg(X.n_chars("target")).alias("actual_length_mean_chars"), F.percentile(X.n_chars("target"), F.lit(0.5)).alias("actual_length_median_chars"),
     )
     means = token_scores(pairs, key).join(rouge_scores(pairs, key), key).agg(*(F.avg(f"{m}_{x}").alias(f"{m}_{x}") for m in ("token", "rouge_l") for x in ("f1", "precision", "recall")))
-    one = means.crossJoin(lengths).crossJoin(reuse_rate(pairs))  # one row each
+    scored = means.withColumn("bert_score_f1", F.col("rouge_l_f1")) if scorer is None else means.crossJoin(model_score(pairs, scorer, key))
+    one = scored.crossJoin(lengths).crossJoin(reuse_rate(pairs))  # one row each
     mismatch = F.abs(F.col("retrieved_length_mean_chars") - F.col("actual_length_mean_chars")) / F.greatest("actual_length_mean_chars", F.lit(1.0)) > 0.50
     elapsed = F.lit(seconds).cast("double")
     return one.select(
         F.lit(method).alias("method_name"), "token_f1", "token_precision", "token_recall", "rouge_l_f1", "rouge_l_precision", "rouge_l_recall",
-        F.col("rouge_l_f1").alias("bert_score_f1"), F.lit(True).alias("bert_score_is_proxy"), elapsed.alias("total_time_seconds"), F.try_divide(elapsed * 1000, F.col("n_queries")).alias("ms_per_query"),
+        "bert_score_f1", F.lit(scorer is None).alias("bert_score_is_proxy"), elapsed.alias("total_time_seconds"), F.try_divide(elapsed * 1000, F.col("n_queries")).alias("ms_per_query"),
         "fallback_rate", "unique_responses_retrieved", "top_10_response_reuse_rate", "retrieved_length_mean_chars", "retrieved_length_median_chars",
         "actual_length_mean_chars", "actual_length_median_chars", mismatch.alias("length_mismatch_flag"),
     )
