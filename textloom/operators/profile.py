@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from textloom.functions import text as X
 from textloom.functions.constants import CATEGORY_NAMES, PROMPT_NAMES, RESPONSE_NAMES, RISK_KEYWORDS
+from textloom.plans.storage import materialize
 
 
 def _five(c: str, name: str) -> list[Column]:
@@ -105,10 +106,20 @@ def value_diversity(df: DataFrame, column: str) -> DataFrame:
 
 
 def top_tokens(df: DataFrame, column: str, key: str, limit: int = 50) -> DataFrame:
-    """``token, n`` of the most frequent script tokens; ties in order of first sight (by key, then place)."""
-    words = df.select(F.col(key).alias("k"), F.posexplode(X.script_tokens(column)).alias("p", "token"))
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "p")).alias("first"))
-    return counts.orderBy(F.desc("n"), "first").limit(limit).select("token", "n")
+    """``token, n`` of the most frequent script tokens; ties in order of first sight (by key, then place).
+
+    All tokens are counted with their least key only, which partial hash aggregates can do; places are looked up in the
+    texts of those few that may be among the first.
+    """
+    words = df.select(F.col(key).alias("k"), F.explode(X.script_tokens(column)).alias("token"))
+    counts = materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")))
+    last = counts.orderBy(F.desc("n"), "k").limit(limit).agg(F.min(F.struct("n", (-F.col("k")).alias("k"))).alias("x")).first()["x"]
+    if last is None:
+        return counts.select("token", "n")
+    may_be = counts.where((F.col("n") > last["n"]) | (F.col("n") == last["n"]) & (F.col("k") <= -last["k"]))
+    rows = df.join(F.broadcast(may_be), F.col(key) == F.col("k"))
+    placed = rows.groupBy("token", "n", "k").agg(F.min(F.array_position(X.script_tokens(column), F.col("token"))).alias("p"))
+    return placed.orderBy(F.desc("n"), "k", "p").limit(limit).select("token", "n")
 
 
 def vocabulary_size(df: DataFrame, column: str, cap: int = 10_000) -> DataFrame:

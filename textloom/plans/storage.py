@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -77,5 +78,5 @@ def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; what is left in the folder is the cluster's to clean
-        pass
+    except Exception:  # noqa: BLE001  the session has ended: a folder in reach is removed, others are the cluster's to clean
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
