@@ -107,10 +107,10 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], default: s
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    rules = [tuple(r) for r in rules]
+    shared = df.sparkSession.sparkContext.broadcast(sorted({tuple(r) for r in rules}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep(rules, default)
+        sweep = Sweep(shared.value, default)
         for b in batches:
             found = [sweep.judge(k, p) for k, p in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
