@@ -8,6 +8,7 @@ which tolerates substitutions, and the best overlap counts if enough words match
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,18 @@ class Index:
         return list(best.values())
 
 
+_KEPT: dict[str, tuple[Index, Spellings]] = {}
+
+
+def index_of(name: str, items: list[tuple[int | None, str]]) -> tuple[Index, Spellings]:
+    """The index of a block, and spellings met with it: built once per Python worker, the last block's only is kept."""
+    if name not in _KEPT:
+        index = Index(items)
+        _KEPT.clear()
+        _KEPT[name] = index, Spellings(index.known)
+    return _KEPT[name]
+
+
 def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
     """(start, length, matches) of the stretch with the greatest sum, a match counting for and a mismatch against it so
     that a stretch of a positive sum has at least SHARE matches; the first and longest of the greatest."""
@@ -150,11 +163,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     out = None
     for items in blocks(benchmark, item_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(items)
+        shared, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            spellings = Spellings(index.known)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index, spellings = index_of(name, shared.value)
             for b in batches:
                 rows = []
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -172,11 +184,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     """The rows of ``df``, all columns kept, that overlap with no benchmark item; rows are told apart by themselves, so
     repeated and null ids don't matter."""
     for items in blocks(benchmark, item_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(items)
+        shared, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            spellings = Spellings(index.known)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index, spellings = index_of(name, shared.value)
             for b in batches:
                 clean = [not index.overlaps(spellings.words(t or "")) for t in b.column(text_col).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
