@@ -2,13 +2,13 @@
 
 The encoding of a stretch is the one sequence of pieces that covers it and whose neighbours are all *compatible*: two
 pieces are compatible if merging their joined text from characters gives just these two again. It is found left to right:
-Aho-Corasick gives the pieces that start at each place, longest first; a piece is taken if it is compatible with the one
-before and no earlier try has failed from where it ends (a bitfield of failed positions); otherwise a shorter one, and
-with none left the last piece is given up and its start marked as failed.
+an Aho-Corasick automaton gives the longest match at a place, and the shorter ones are its prefixes; a piece is taken if it is
+compatible with the one before and no earlier try has failed from where it ends (a bitfield of failed positions); otherwise
+a shorter one is, and with none left the last piece is given up and the place marked as failed.
 
 Stretches come from cutting the text where no merge can cross: a piece holds the word mark only at its start (or is a run
-of marks), and between two characters that stand side by side in no piece. Characters outside the vocabulary stand alone
-and fall back to bytes. All of this is read from the model file and checked when it is loaded.
+of marks), and characters outside the vocabulary stand alone and fall back to bytes. All of this is read from the model
+file and checked when it is loaded.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ class Model:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.unknown = sp.unk_id()
+        self.last_special = max(self.unknown, *self.byte_of, *self.silent)
         if len(self.byte_id) != 256:
             raise ValueError("a model with byte fallback is needed")
         if any(MARK in p[1:] and p.strip(MARK) for p in self.id):
@@ -54,11 +55,18 @@ class Model:
             raise ValueError("a piece holds a character that is no piece")
         self.adjacent = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.longest = max(map(len, self.id))
-        # keys are reversed, so that the matches ending at a place of the reversed stretch are those starting there
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self.automaton.add_word(p[::-1], (i, len(p)))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        # of every prefix of a piece the longest piece in it, and of every piece the next shorter one in it
+        self.at_prefix: dict[str, tuple[int, int]] = {}
+        for p in self.id:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in self.at_prefix:
+                    self.at_prefix[p[:k]] = next((self.id[p[:j]], j) for j in range(k, 0, -1) if p[:j] in self.id)
+        self.shorter = {i: self.at_prefix.get(p[:-1]) for p, i in self.id.items()}
+        self.digits = [str(i) for i in range(n)]
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.words = self.word_pattern()
@@ -111,35 +119,38 @@ class Model:
     def backtrack(self, text: str) -> list[int]:
         """Ids of a stretch of known characters. It holds at most one mark, at its start: equal scores, which only runs
         of marks have, then never decide."""
-        n = len(text)
-        whole = self.id.get(text)
+        n, ids, known = len(text), self.id, self.pairs
+        whole = ids.get(text)
         if whole is not None and self.stands_alone(whole):
             return [whole]
-        # the automaton gives the matches at a place longest first
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text[::-1]):
-            starting[n - 1 - end].append(found)
-        failed = 0
-        taken: list[tuple[int, int, int]] = []  # id, length, which of the pieces starting there
-        at, k = 0, 0
-        while at < n:
-            last = taken[-1][0] if taken else None
-            options = starting[at]
-            while k < len(options):
-                i, length = options[k]
-                if not failed >> (at + length) & 1 and (self.stands_alone(i) if last is None else self.compatible(last, i)):
-                    break
-                k += 1
-            if k < len(options):
-                taken.append((i, length, k))
-                at, k = at + length, 0
+        longest, reach, at_prefix, shorter = self.automaton.longest_prefix, self.longest, self.at_prefix, self.shorter
+        failed = bytearray((n >> 3) + 1)
+        taken: list[int] = []
+        lengths: list[int] = []
+        at = 0
+        found = at_prefix[text[: longest(text[:reach])]]
+        while True:
+            while found:
+                i, k = found
+                end = at + k
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = known.get(taken[-1] << 32 | i) if taken else self.stands_alone(i)
+                    if fits or fits is None and self.compatible(taken[-1], i):
+                        break
+                found = shorter[i]
+            if found:
+                taken.append(i)
+                if end == n:
+                    return taken
+                lengths.append(k)
+                at = end
+                found = at_prefix[text[at : at + longest(text[at : at + reach])]]
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not taken:
                     raise AssertionError("no encoding")  # every known character is a piece
-                _, length, k = taken.pop()
-                at, k = at - length, k + 1
-        return [i for i, _, _ in taken]
+                found = shorter[taken.pop()]
+                at -= lengths.pop()
 
     def stretch(self, text: str) -> list[int]:
         return self.backtrack(text) if MARK not in text[1:] else self.merge_marks(text)
@@ -164,6 +175,8 @@ class Model:
         return [self.id[MARK * k] for k in lengths]
 
     def word(self, text: str) -> list[int]:
+        if self.chars.issuperset(text):
+            return self.stretch(text)
         ids: list[int] = []
         start = 0
         chars, adjacent, n = self.chars, self.adjacent, len(text)
@@ -189,6 +202,9 @@ class Model:
     # --- decoding
 
     def decode(self, ids: list[int]) -> str:
+        if ids and min(ids) > self.last_special:
+            text = "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
+            return text[1:] if text.startswith(" ") else text
         out: list[str] = []
         run = bytearray()
         first = True  # the mark before the text is dropped from the first piece that says anything
@@ -254,7 +270,7 @@ class Digests(dict):
     def __missing__(self, word: str) -> tuple[int, str, str]:
         ids = self.model.word(word)
         # behind another mark, which decoding drops, the word's own mark is kept
-        found = len(ids), ",".join(map(str, ids)), self.model.decode([self.model.id[MARK], *ids])
+        found = len(ids), ",".join(map(self.model.digits.__getitem__, ids)), self.model.decode([self.model.id[MARK], *ids])
         if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED_WORDS:
                 self.clear()
