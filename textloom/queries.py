@@ -313,6 +313,15 @@ def response_reuse(spark, sf_dir):
     return M.reuse_rate(docs(spark, sf_dir), "source")
 
 
+@query
+def answer_lengths(spark, sf_dir):
+    """Lengths, fallbacks and reuse of what exact matching answers: the parts of a record that need no text kernel."""
+    test, train = sides(spark, sf_dir)
+    found = R.exact_match(test, train, "text", "source", "doc_id").join(test.select(F.col("doc_id").alias("query_id"), F.col("source").alias("target")), "query_id")
+    record = M.evaluate(found, "Exact Match")
+    return record.select("method_name", "fallback_rate", "unique_responses_retrieved", "top_10_response_reuse_rate", "retrieved_length_mean_chars", "retrieved_length_median_chars", "actual_length_mean_chars", "actual_length_median_chars", "length_mismatch_flag")
+
+
 @query
 def retrieval_eval(spark, sf_dir):
     out = None
@@ -403,6 +412,7 @@ ORACLE_SQL |= {
         FROM (SELECT len(regexp_extract_all(text, '[\x{0980}-\x{09FF}]'))::DOUBLE AS b, len(regexp_extract_all(text, '[A-Za-z]'))::DOUBLE AS l, len(regexp_extract_all(text, '[0-9]'))::DOUBLE AS d, length(text) AS n FROM documents) x""",
     "missing_values": "WITH j AS (SELECT d.doc_id, text, lang, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM j" for c in ("doc_id", "text", "lang", "quality", "toxic")),
     "schema_report": "SELECT p::BIGINT AS position, c AS column_name, t AS data_type, (SELECT count(*) FROM documents) AS n_rows FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'), (4, 'n_chars', 'bigint')) v(p, c, t)",
+    "schema_roles": "SELECT * FROM (VALUES ('prompt', 'prompt'), ('response', 'response')) v(role, column_name)",
     "normalized_text": f"SELECT doc_id, sha256({T_NORM}) AS normalized_sha256, length(coalesce(text, '')) AS n_chars_counted, len({WORDS.format(T_NORM)}) AS n_words FROM documents",
     "top_tokens": f"SELECT token, count(*) AS n FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, {SCRIPT} AS l FROM documents) y) x GROUP BY token ORDER BY n DESC, min((doc_id, p)) LIMIT 50",
     "vocabulary_size": f"SELECT count(DISTINCT token) AS n_tokens, least(count(DISTINCT token), 10000)::BIGINT AS n_tokens_capped FROM (SELECT unnest({SCRIPT}) AS token FROM documents) x",
@@ -460,6 +470,12 @@ ORACLE_SQL |= {
         s AS (SELECT p.id, CASE WHEN coalesce(x, 0) = 0 AND coalesce(y, 0) = 0 THEN 1.0 WHEN coalesce(x, 0) = 0 THEN 0.0 ELSE o / x END AS pr, CASE WHEN coalesce(x, 0) = 0 AND coalesce(y, 0) = 0 THEN 1.0 WHEN coalesce(y, 0) = 0 THEN 0.0 ELSE o / y END AS re FROM p LEFT JOIN o ON o.id = p.id)
         SELECT id AS query_id, round(pr::DOUBLE, 9) AS token_precision, round(re::DOUBLE, 9) AS token_recall, round(CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END::DOUBLE, 9) AS token_f1 FROM s""",
     "response_reuse": "WITH f AS (SELECT count(*) AS c FROM documents GROUP BY source), r AS (SELECT c, row_number() OVER (ORDER BY c DESC) AS i, count(*) OVER () AS k, sum(c) OVER () AS n FROM f) SELECT max(k) AS unique_responses_retrieved, sum(c) FILTER (WHERE i <= greatest(1, floor(0.1 * k))) / max(n)::DOUBLE AS top_10_response_reuse_rate FROM r",
+    "answer_lengths": f"""WITH c AS (SELECT {T_NORM} AS t, arg_min(source, doc_id) AS found FROM documents WHERE doc_id % 10 <> 0 GROUP BY 1),
+        p AS (SELECT coalesce(found, 'ধন্যবাদ। সঠিক পরামর্শের জন্য একজন বিশেষজ্ঞ ডাক্তারের সাথে কথা বলুন।') AS prediction, t IS NULL AS miss, source AS target FROM documents LEFT JOIN c ON t = {T_NORM} WHERE doc_id % 10 = 0),
+        f AS (SELECT count(*) AS c FROM p GROUP BY prediction), r AS (SELECT c, row_number() OVER (ORDER BY c DESC) AS i, count(*) OVER () AS k, sum(c) OVER () AS n FROM f),
+        l AS (SELECT avg(miss::INTEGER) AS fallback_rate, avg(length(prediction)) AS retrieved_length_mean_chars, quantile_cont(length(prediction), 0.5)::DOUBLE AS retrieved_length_median_chars, avg(length(target)) AS actual_length_mean_chars, quantile_cont(length(target), 0.5)::DOUBLE AS actual_length_median_chars FROM p)
+        SELECT 'Exact Match' AS method_name, l.*, (SELECT max(k) FROM r) AS unique_responses_retrieved, (SELECT sum(c) FILTER (WHERE i <= greatest(1, floor(0.1 * k))) / max(n)::DOUBLE FROM r) AS top_10_response_reuse_rate,
+        abs(retrieved_length_mean_chars - actual_length_mean_chars) / greatest(actual_length_mean_chars, 1.0) > 0.5 AS length_mismatch_flag FROM l""",
     "chat_format": f"""WITH {PAIRS}, f AS (SELECT id, '<|im_start|>system' || chr(10) || 'আপনি একজন অভিজ্ঞ বাংলাদেশি চিকিৎসক। রোগীর প্রশ্নের উত্তর বাংলায় সংক্ষিপ্ত ও স্পষ্টভাবে দিন।' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10) AS t FROM pairs)
         SELECT id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM f""",
     "token_length_stats": f"""WITH {PAIRS}, n AS (SELECT len({WORDS.format(NORM.format('prompt'))}) + len({WORDS.format(NORM.format('response'))}) AS n FROM pairs)
