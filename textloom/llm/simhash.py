@@ -226,7 +226,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = materialize(fingerprints(df, id_col, text_col))
     leaves = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(near_pairs(leaves.select("fp")))
-    root = leaves.join(linked, leaves.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = root.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    root = materialize(leaves.join(linked, leaves.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    # written before it is joined back: a join right above the aggregation could not split a component of very many rows
+    ids = materialize(root.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
     named = root.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return docs.join(named, docs.fp == named.f).select("doc_id", hex_of(docs.fp).alias("fingerprint"), "component_id")
