@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from tests.llm import hard
 from textloom.llm import decontaminate as D
 
@@ -46,6 +49,40 @@ def test_finds_what_a_full_comparison_finds():
     assert some > 100
 
 
+def most_matches(match):
+    """By all stretches: the most matches of one of which at most a fifth differ."""
+    n = len(match)
+    return max((m for a in range(n) for z in range(a + 1, n + 1) if 5 * (m := sum(match[a:z])) >= 4 * (z - a)), default=0)
+
+
+def test_stretch_with_the_most_matches():
+    r = random.Random(3)
+    cases = [[c == "1" for c in f"{i:0{n}b}"] for n in range(11) for i in range(1 << n)]
+    cases += [[r.random() < share for _ in range(n)] for share in (0.7, 0.8, 0.9) for n in range(11, 60)]
+    for match in cases:
+        start, length, matches = D.best_stretch(np.array(match, bool))
+        part = match[start : start + length]
+        assert matches == sum(part) == most_matches(match) and 5 * matches >= 4 * length
+        assert not length or (part[0] and part[-1])
+
+
+def test_substitutions_anywhere():
+    """Items of 8 words and more are found wherever the words that the rule lets differ stand."""
+    for n, most in ((8, 1), (9, 1), (10, 2), (13, 2), (14, 2), (16, 3), (18, 3), (20, 4)):
+        item = [f"w{i}" for i in range(n)]
+        index = D.Index([(1, " ".join(item))])
+        spellings = D.Spellings(index.known)
+        for k in range(most + 1):
+            for at in itertools.combinations(range(n), k):
+                words = spellings.words(" ".join("x" if i in at else w for i, w in enumerate(item)))
+                wanted = most_matches([i not in at for i in range(n)])
+                found = index.overlaps(words)
+                if 5 * wanted >= 4 * n or wanted >= 13:
+                    assert [o[4] for o in found] == [wanted], (n, at)
+                else:
+                    assert not found
+
+
 def test_blocks_and_filter(spark, monkeypatch):
     items, docs = corpus()
     b = spark.createDataFrame(items, "item_id long, text string")

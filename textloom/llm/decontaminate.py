@@ -25,6 +25,8 @@ MASKS = ("11111", "111101", "1101011", "10110011")
 #: Of an overlap's words at least this share match, and so many of them (of an item with fewer words: this share of them).
 #: Items of fewer than five words can't be told from ordinary text and are left out.
 SHARE, LEAST_MATCHES, LEAST_WORDS = 0.8, 13, 5
+#: SHARE in whole numbers: so much a match counts for a stretch and a mismatch against it.
+FOR, AGAINST = 1, 4
 #: The benchmark is read in blocks of about so many bytes of text, each one broadcast and one scan of the documents.
 BLOCK_BYTES = 8 << 20
 #: Remembered spellings of a Python worker, and their greatest length.
@@ -134,14 +136,19 @@ def index_of(name: str, items: list[tuple[int | None, str]]) -> tuple[Index, Spe
 
 
 def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, matches) of the stretch with the greatest sum, a match counting for and a mismatch against it so
-    that a stretch of a positive sum has at least SHARE matches; the first and longest of the greatest."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(match, 1 - SHARE, -SHARE))])
-    low = np.minimum.accumulate(total)
-    gain = np.round(total - low, 6)
-    end = len(gain) - 1 - int(np.argmax(gain[::-1]))
-    start = int(np.argmin(total[: end + 1]))
-    return start, end - start, int(match[start:end].sum())
+    """(start, length, matches) of the stretch with the most matches of which at least SHARE match, without mismatches at
+    its ends; the first of several. With 1 for a match and -4 against a mismatch such stretches have a sum of 0 or more;
+    of these the longest has the most matches, since one that can't grow has a sum of 0 to 3, or is the whole."""
+    total = np.concatenate([[0], np.cumsum(np.where(match, FOR, -AGAINST))])
+    # the longest stretch to each end begins at the first place where the sum is not above that at the end
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    length = np.arange(len(total)) - first
+    end = int(np.argmax(length))
+    start = int(first[end])
+    at = np.flatnonzero(match[start:end])
+    if not len(at):
+        return start, 0, 0
+    return start + int(at[0]), int(at[-1] - at[0]) + 1, len(at)
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
