@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from textloom.llm.decontaminate import decontaminate
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.pieces import encoding_digests
 from textloom.llm.quality_rules import keep_quality
 from textloom.llm.queries import table, tokenizer
-from textloom.llm.simhash import simhash_components
+from textloom.llm.simhash import first_of_components
 from textloom.plans.storage import materialize
 
 
@@ -32,12 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group stays; of rows with that id (or of a group without ids) the first by
-    text. Rows are joined with the kept ids only, which are about as many as there are rows."""
-    groups = simhash_components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.hint("merge").join(stay, docs.doc_id.eqNullSafe(stay.stays)).drop("stays")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*docs.columns))
-    return kept.withColumn("first_of_id", first).where("first_of_id = 1").drop("first_of_id")
+    text. Every group keeps one row, whichever ids are null or repeated elsewhere."""
+    return first_of_components(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

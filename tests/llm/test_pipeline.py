@@ -63,3 +63,12 @@ def test_stages_return_the_columns_of_documents(spark):
             assert out.columns == docs.columns or name == "encoding"
             assert (out.count() == 0) == (rows is not odd)
     assert re.match(r"doc_id", out.columns[0])
+
+
+def test_every_group_keeps_one_row(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (5, text("c")), (5, text("d")), (5, text("d")), (2, text("e")), (7, text("e")), (7, text("f")), (None, text("f")), (9, text("g")), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()), key=repr)
+    want = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (2, text("e")), (7, text("f")), (9, text("g")), (9, "")]
+    assert got == sorted(want, key=repr)

@@ -20,6 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window as W
 
 from textloom.llm.common import arrow_map, doc_rows, hex_of
 from textloom.operators.components import connected_components
@@ -231,3 +233,29 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = materialize(root.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
     named = root.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return docs.join(named, docs.fp == named.f).select("doc_id", hex_of(docs.fp).alias("fingerprint"), "component_id")
+
+
+def first_of_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` for each component, all columns kept: the row with the least id (null ids come after all others),
+    of several such rows the first by its columns. Rows are told apart by their own fingerprints, so a null id, or an id
+    that is repeated in another component, takes no row away.
+
+    Each row carries its fingerprint and is joined by it and the id with the fingerprints that hold their component's
+    least id; what is left is one row a component, but for repeated and null ids.
+    """
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t or "") for t in b.column(text_col).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "row_fp"])
+
+    rows = materialize(arrow_map(df, run, StructType([*df.schema.fields, StructField("row_fp", LongType())])))
+    leaves = materialize(rows.groupBy(F.col("row_fp").alias("fp")).agg(F.min(id_col).alias("least")))
+    linked = connected_components(near_pairs(leaves.select("fp")))
+    root = materialize(leaves.join(linked, leaves.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    ids = materialize(root.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
+    lead = root.join(ids, (F.col("root") == F.col("r")) & F.col("least").eqNullSafe(F.col("component_id"))).select("fp", "least", "root")
+    kept = rows.hint("merge").join(lead, (rows.row_fp == lead.fp) & rows[id_col].eqNullSafe(lead.least))
+    first = F.row_number().over(W.partitionBy("root").orderBy(*columns))
+    return kept.withColumn("first_of_root", first).where("first_of_root = 1").select(*columns)
