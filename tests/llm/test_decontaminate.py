@@ -83,6 +83,19 @@ def test_substitutions_anywhere():
                     assert not found
 
 
+def test_short_items_with_a_word_replaced_or_cut_off():
+    for n in (5, 6, 7):
+        item = [f"w{i}" for i in range(n)]
+        index = D.Index([(1, " ".join(item))])
+        spellings = D.Spellings(index.known)
+        for at in range(n):
+            words = ["x" if i == at else w for i, w in enumerate(item)]
+            for text in (words, ["y", "z", *words, "y"]):
+                found = index.overlaps(spellings.words(" ".join(text)))
+                assert [o[4] for o in found] == [n - 1], (n, at)
+        assert index.overlaps(spellings.words(" ".join(item[1:])))
+
+
 def test_blocks_and_filter(spark, monkeypatch):
     items, docs = corpus()
     b = spark.createDataFrame(items, "item_id long, text string")

@@ -22,6 +22,9 @@ from textloom.llm.vector import U, mix
 #: Positions of a window that a seed compares (1) and ignores (0). Each picks five, so overlaps of five words can hit; with
 #: every fifth word replaced, the second one still hits.
 MASKS = ("11111", "111101", "1101011", "10110011")
+#: Those of items of fewer than SHORT words, after the others: one of them hits whichever fifth of the words differs.
+SHORT, LONG_MASKS = 8, len(MASKS)
+MASKS += ("1111", "11101", "11011", "10111")
 #: Of an overlap's words at least this share match, and so many of them (of an item with fewer words: this share of them).
 #: Items of fewer than five words can't be told from ordinary text and are left out.
 SHARE, LEAST_MATCHES, LEAST_WORDS = 0.8, 13, 5
@@ -89,9 +92,12 @@ class Index:
         self.known = known
         self.ids = [sorted(x, key=lambda i: (i is None, i)) for x in same.values()]
         self.items = [np.array(w, np.int64) for w in same]
+        self.masks: set[int] = set()
         hashes, item, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, w in enumerate(self.items):
-            for k in range(len(MASKS)):
+            masks = range(LONG_MASKS, len(MASKS)) if len(w) < SHORT else range(LONG_MASKS)
+            self.masks.update(masks)
+            for k in masks:
                 h = seeds(w, k)
                 hashes.append(h)
                 item.append(np.full(len(h), n))
@@ -105,7 +111,7 @@ class Index:
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, start in the text, start in the item, length, matches) of the best overlap with each item."""
         diagonals = [np.zeros((0, 2), np.int64)]
-        for k in range(len(MASKS)):
+        for k in sorted(self.masks):
             h = seeds(words, k)
             at = np.flatnonzero(self.filter[h >> U(64 - self.FILTER_BITS)])
             lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
