@@ -15,7 +15,7 @@ from textloom.llm.pieces import encoding_digests
 from textloom.llm.quality_rules import keep_quality
 from textloom.llm.queries import table, tokenizer
 from textloom.llm.simhash import first_of_components
-from textloom.plans.storage import materialize
+from textloom.plans.storage import discard, materialize, temporary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own tables go once its result is written, and its input once the next is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary() as kept:
+            docs = materialize(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

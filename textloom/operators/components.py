@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.plans.storage import checkpoint
+from textloom.plans.storage import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -14,34 +14,40 @@ MOST_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node gets an edge to the node's least neighbour (or the node itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+    out = materialize(both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and all its smaller neighbours get an edge to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
     moved = down.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+    out = materialize(moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """``node, component`` for every node of an edge between different ends; ``component`` is the least node reachable.
 
     Edges with a null end, loops and repeated edges change nothing; without edges the result is empty. A node with very
-    many edges is never gathered: its least neighbour is a partial aggregate, and the join with it is one that adaptive
-    execution splits.
+    many edges is never gathered: its least neighbour is a partial aggregate, written before it is joined back, so that
+    adaptive execution can split the join (right above an aggregation it could not). Tables of earlier rounds are removed.
     """
-    e = edges.select(edges[left].alias("u"), edges[right].alias("v")).where("u <> v").distinct()
-    e = checkpoint(e)
+    e = materialize(edges.select(edges[left].alias("u"), edges[right].alias("v")).where("u <> v").distinct())
     state = None
     for _ in range(MOST_ROUNDS):
-        e = checkpoint(_small_star(_large_star(e)))
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if tuple(now) == state:
+        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        if now == state or not now[0]:
             break
-        state = tuple(now)
+        state = now
+        star = _large_star(e)
+        after = _small_star(star)
+        discard(e, star)
+        e = after
     else:
         raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -113,13 +113,17 @@ def top_tokens(df: DataFrame, column: str, key: str, limit: int = 50) -> DataFra
     """
     words = df.select(F.col(key).alias("k"), F.explode(X.script_tokens(column)).alias("token"))
     counts = materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")))
-    last = counts.orderBy(F.desc("n"), "k").limit(limit).agg(F.min(F.struct("n", (-F.col("k")).alias("k"))).alias("x")).first()["x"]
-    if last is None:
-        return counts.select("token", "n")
-    may_be = counts.where((F.col("n") > last["n"]) | (F.col("n") == last["n"]) & (F.col("k") <= -last["k"]))
-    rows = df.join(F.broadcast(may_be), F.col(key) == F.col("k"))
-    placed = rows.groupBy("token", "n", "k").agg(F.min(F.array_position(X.script_tokens(column), F.col("token"))).alias("p"))
-    return placed.orderBy(F.desc("n"), "k", "p").limit(limit).select("token", "n")
+    shown = counts.orderBy(F.desc("n"), F.asc_nulls_last("k")).limit(limit).collect()  # as many rows as are asked for
+    if len(shown) < limit:
+        may_be = counts
+    else:
+        n, k = shown[-1]["n"], shown[-1]["k"]
+        tied = F.lit(True) if k is None else F.col("k") <= F.lit(k)
+        may_be = counts.where((F.col("n") > n) | (F.col("n") == n) & tied)
+    # ties may be many: how the two sides meet is left to the optimizer, which knows the size of a written table
+    rows = df.select(F.col(key).alias("_k"), F.col(column).alias("_t")).join(may_be, F.col("_k").eqNullSafe(F.col("k")))
+    placed = rows.withColumn("_s", X.script_tokens("_t")).groupBy("token", "n", "k").agg(F.min(F.nullif(F.array_position("_s", F.col("token")), F.lit(0))).alias("p"))
+    return placed.orderBy(F.desc("n"), F.asc_nulls_last("k"), "p").limit(limit).select("token", "n")
 
 
 def vocabulary_size(df: DataFrame, column: str, cap: int = 10_000) -> DataFrame:

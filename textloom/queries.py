@@ -21,7 +21,7 @@ from textloom.operators import retrieval as R
 from textloom.operators import split as S
 from textloom.operators import training as T
 from textloom.plans.audit import audit_summary as summary
-from textloom.plans.storage import materialize
+from textloom.plans.storage import materialize, read_table
 from textloom.sources.readers import latest_checkpoint, with_position
 from textloom.sources.writers import ledger_rows, split_ledger_row
 
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +69,8 @@ def row_statistics(spark, sf_dir):
 
 @query
 def text_quality(spark, sf_dir):
-    return P.text_quality(docs(spark, sf_dir), "text")
+    # read as it lies: means of fractions depend on the order of addition in their last digits
+    return P.text_quality(table(spark, sf_dir, "documents"), "text")
 
 
 @query
