@@ -16,10 +16,13 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with bounded batches, the package being with the executors."""
+    """mapInArrow with bounded batches, the package being with the executors. The bounds are settings of the session, read
+    when the plan is run, so they stay set; a smaller bound that the caller has set is left as it is."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     ship(spark)
     return df.mapInArrow(fn, schema)
 

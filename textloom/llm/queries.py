@@ -17,6 +17,7 @@ from textloom.llm.simhash import simhash_components
 from textloom.llm.suffix_dedup import dedup_substrings, digest
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.url_rules import filter_urls
+from textloom.plans.storage import read_table
 
 
 def tokenizer(name: str) -> str:
@@ -26,7 +27,7 @@ def tokenizer(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from textloom.llm.common import arrow_map, doc_rows, hex_of
 from textloom.operators.components import connected_components
-from textloom.plans.storage import checkpoint, materialize
+from textloom.plans.storage import materialize
 
 SHINGLE, SEED, BUDGET, BITS = 4, 42, 4, 64
 #: A sub-trie of more leaves is cut into node pairs.
@@ -169,21 +169,32 @@ def _joined_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         signed = fp.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(signed[at]), pa.array(signed[trie.label[at]])], ["u", "v"])
 
-    held: list[np.ndarray] = []
+    def judged(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts)
+        return edges(rows[:, :4], rows[:, 5].copy().view(np.uint64) ^ np.uint64(1 << 63), rows[:, 4])
+
+    # whole units wait until they are many; the rows of the last unit, which may go on, are apart
+    whole: list[np.ndarray] = []
+    last: list[np.ndarray] = []
     size = 0
     for b in batches:
-        held.append(np.stack([np.asarray(c) for c in b.columns], 1))
-        size += b.num_rows
+        rows = np.stack([np.asarray(c) for c in b.columns], 1)
+        if not len(rows):
+            continue
+        before = last[-1][-1:, :4] if last else rows[:1, :4]
+        new = np.flatnonzero((rows[:, :4] != np.concatenate([before, rows[:-1, :4]])).any(axis=1))
+        if len(new):
+            done = [*last, rows[: new[-1]]]
+            whole += done
+            size += sum(map(len, done))
+            last = [rows[new[-1] :]]
+        else:
+            last.append(rows)
         if size >= TOGETHER:
-            rows = np.concatenate(held)
-            cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
-            if len(cut):
-                done, rows = rows[: cut[-1] + 1], rows[cut[-1] + 1 :]
-                yield edges(done[:, :4], done[:, 5].copy().view(np.uint64) ^ np.uint64(1 << 63), done[:, 4])
-            held, size = [rows], len(rows)
-    if size:
-        rows = np.concatenate(held)
-        yield edges(rows[:, :4], rows[:, 5].copy().view(np.uint64) ^ np.uint64(1 << 63), rows[:, 4])
+            yield judged(whole)
+            whole, size = [], 0
+    if whole or last:
+        yield judged(whole + last)
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
@@ -195,7 +206,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     # how deep each sub-trie is cut, so that a node has about MOST_LEAVES leaves; a sub-trie below that is one unit
     deep = F.least(F.lit(DEEPEST), F.ceil(F.log2(F.col("n") / MOST_LEAVES))).cast("int")
     hot = rows.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_LEAVES).select("block", "bits", deep.alias("deep"))
-    hot = checkpoint(hot)
+    hot = materialize(hot)
     if hot.isEmpty():
         units = rows.select("block", "bits", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("node"), "fp")
     else:
