@@ -1,10 +1,12 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
 from tests.llm import hard
 from textloom.llm import decontaminate as D
+from textloom.llm.queries import QUERIES
 
 
 def corpus(seed=2):
@@ -30,7 +32,8 @@ def plain(words, index):
     for n, w in enumerate(index.items):
         for d in range(-len(w) + 1, len(words)):
             a, z = max(0, -d), min(len(w), len(words) - d)
-            if z - a >= 5 and D.best_stretch(words[a + d : z + d] == w[a:z])[2] >= min(D.LEAST_MATCHES, D.SHARE * len(w)):
+            match, need = words[a + d : z + d] == w[a:z], min(D.LEAST_MATCHES, D.SHARE * len(w))
+            if z - a >= min(5, len(w)) and match.sum() >= need and D.best_stretch(match)[2] >= need:
                 out.add(n)
                 break
     return out
@@ -83,6 +86,57 @@ def test_substitutions_anywhere():
                     assert not found
 
 
+def test_every_pattern_of_replaced_words():
+    """Items of 1 to 21 words, with every set of words replaced that the rule may accept, at any place of a text."""
+    for n in range(1, 22):
+        index = D.Index([(1, " ".join(f"w{i}" for i in range(n)))])
+        item = index.items[0]
+        most = n - int(np.ceil(min(D.LEAST_MATCHES, D.SHARE * n) - 1e-9))
+        need = min(D.LEAST_MATCHES, D.SHARE * n)
+        for k in range(min(4, most) + 1):
+            for at in itertools.combinations(range(n), k):
+                match = np.ones(n, bool)
+                match[list(at)] = False
+                wanted = D.best_stretch(match)[2]
+                words = np.concatenate([[D.UNKNOWN] * 3, np.where(match, item, D.UNKNOWN), [D.UNKNOWN]])
+                assert [o[4] for o in index.overlaps(words)] == ([wanted] if wanted >= need else []), (n, at)
+
+
+def test_equal_words_cost_little():
+    began = time.monotonic()
+    for period in (1, 2, 3):
+        words = [f"w{i % period}" for i in range(20_000)]
+        index = D.Index([(1, " ".join(words[:2000]))])
+        found = index.overlaps(D.Spellings(index.known).words(" ".join(words)))
+        assert found == [(0, 0, 0, 2000, 2000)]
+    assert time.monotonic() - began < 60
+
+
+def test_registered_query_against_a_full_comparison(spark):
+    """The query on all documents of the smallest table: every diagonal of every document and item is compared."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").collect()
+    items = [(r.item_id, r.text or "") for r in read("benchmark")]
+    index = D.Index(items)
+    spellings = D.Spellings(index.known)
+    want = set()
+    for r in read("documents"):
+        words = spellings.words(r.text or "")
+        for n, w in enumerate(index.items):
+            # only diagonals with enough words in common can matter
+            common = np.flatnonzero(np.isin(words, w))
+            places = {x: np.flatnonzero(w == x) for x in set(w.tolist())}
+            d = [int(i - j) for i in common for j in places[int(words[i])]]
+            values, counts = np.unique(np.array(d, np.int64), return_counts=True)
+            need = min(D.LEAST_MATCHES, D.SHARE * len(w))
+            for x in values[counts >= need].tolist():
+                a, z = max(0, -x), min(len(w), len(words) - x)
+                if D.best_stretch(words[a + x : z + x] == w[a:z])[2] >= need:
+                    want |= {(r.doc_id, i) for i in index.ids[n]}
+                    break
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontamination"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and want
+
+
 def test_short_items_with_a_word_replaced_or_cut_off():
     for n in (5, 6, 7):
         item = [f"w{i}" for i in range(n)]
@@ -96,16 +150,19 @@ def test_short_items_with_a_word_replaced_or_cut_off():
         assert index.overlaps(spellings.words(" ".join(item[1:])))
 
 
-def test_blocks_and_filter(spark, monkeypatch):
+def test_broadcast_and_join_agree(spark, monkeypatch):
     items, docs = corpus()
     b = spark.createDataFrame(items, "item_id long, text string")
+    docs += [(3, docs[3][1]), (None, docs[4][1]), (900, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    one = {tuple(r) for r in D.contaminated(d, b).collect()}
+    one = sorted((tuple(r) for r in D.contaminated(d, b).collect()), key=repr)
+    left = sorted((tuple(r) for r in D.decontaminate(d, b).collect()), key=repr)
+    assert {r[0] for r in one if r[1] == 5} == {r[0] for r in one if r[1] == 99} != set()  # items that read alike
     monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
-    assert {tuple(r) for r in D.contaminated(d, b).collect()} == one
+    assert sorted((tuple(r) for r in D.contaminated(d, b).collect()), key=repr) == one
+    assert sorted((tuple(r) for r in D.decontaminate(d, b).collect()), key=repr) == left
     hit = {r[0] for r in one}
-    assert {r.doc_id for r in D.decontaminate(d, b).collect()} == {i for i, _ in docs} - hit
-    assert {r[1] for r in one if r[1] in (5, 99)} in ({5, 99}, set())  # items that read alike are found alike
+    assert {i for i, _ in left if i is not None} == {i for i, _ in docs if i is not None} - hit
 
 
 def test_hard_documents(spark):
