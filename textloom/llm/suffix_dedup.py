@@ -228,11 +228,11 @@ def repeated(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[t
 
 
 def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (th, n, text) -> (h, s, th, n, b, e): each different stretch of a piece of text once, where it is found
-    first; and with null s (and th for h) what the others of the piece cover, which are found earlier there."""
+    """Rows (id, th, n, text) -> (h, s, id, th, n, b, e): each different stretch of a piece of text once, where it is
+    found first; and with null s (and th for h) what the others of the piece cover, which are found earlier there."""
     for batch in batches:
-        th, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        for t, piece, a, z, h, s in stretches(batch.column(2).to_pylist()):
+        ids, th, n = (np.asarray(batch.column(i)) for i in range(3))
+        for t, piece, a, z, h, s in stretches(batch.column(3).to_pylist()):
             e = z + LENGTH
             _, first = np.unique(mix(mix(h ^ s) + s + piece.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
             again = np.ones(len(t), bool)
@@ -244,16 +244,16 @@ def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             begin = np.flatnonzero(new)
             lt, lb, le = lt[begin], lb[begin], le[np.append(begin[1:], len(r))[: len(begin)] - 1]
             of, none = np.append(t[k], lt), np.append(np.zeros(len(k), bool), np.ones(len(lt), bool))
-            columns = [np.append(h[k].view(np.int64), th[lt]), np.append(s[k].view(np.int64), np.zeros(len(lt), np.int64)), th[of], n[of], np.append(a[k], lb), np.append(e[k], le)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, mask=none if i == 1 else None) for i, c in enumerate(columns)], ["h", "s", "th", "n", "b", "e"])
+            columns = [np.append(h[k].view(np.int64), th[lt]), np.append(s[k].view(np.int64), np.zeros(len(lt), np.int64)), ids[of], th[of], n[of], np.append(a[k], lb), np.append(e[k], le)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=none if i == 1 else None) for i, c in enumerate(columns)], ["h", "s", "id", "th", "n", "b", "e"])
 
 
 def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, th, n, text, array of (h, kinds, b, e)) -> (h, kinds, id, th, n, b, stretch)."""
+    """Rows (id, th, n, text, array of (h, b, e)) -> (h, id, th, n, b, stretch)."""
     for batch in batches:
-        rows = [(w["h"], w["kinds"], i, th, n, w["b"], text[w["b"] : w["e"]]) for i, th, n, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in wanted]
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], ["h", "kinds", "id", "th", "n", "b", "stretch"])
+        rows = [(w["h"], i, th, n, w["b"], text[w["b"] : w["e"]]) for i, th, n, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in wanted]
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(columns)], ["h", "id", "th", "n", "b", "stretch"])
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,41 +316,46 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 1. of equal texts only the one of the least id is looked into; in the others every string is found earlier
     texts = materialize(docs.groupBy(*same_text).agg(F.min("id").alias("id")))
 
-    # 2. stretches of the anchors that are found in more than one place
+    # 2. stretches of the anchors that are found in more than one place, and whether they differ
     # kept, as it is read twice: to count anchors, and to pick stretches
-    found = materialize(arrow_map(docs.where(F.col("n") >= LENGTH).select(*same_text, "text"), _emit_stretches, "h long, s long, th long, n long, b long, e long"))
+    found = materialize(arrow_map(docs.where(F.col("n") >= LENGTH).select("id", *same_text, "text"), _emit_stretches, "h long, s long, id long, th long, n long, b long, e long"))
     where_found = F.xxhash64("th", "n", "s", "b")
-    again = found.where("s IS NOT NULL").groupBy("h").agg(F.min(where_found).alias("x"), F.max(where_found).alias("y")).where("x <> y").select(F.col("h").alias("again"))
-    left = found.join(again.hint("merge"), F.col("h") == F.col("again"), "left").where("s IS NULL OR again IS NOT NULL").drop("again")
-    left = materialize(left)
-    discard(found)
+    again = found.where("s IS NOT NULL").groupBy("h").agg(F.min(where_found).alias("x"), F.max(where_found).alias("y"), (F.min("s") < F.max("s")).alias("differ"))
+    # aggregates are written before they are joined back, so that a join on a hot key can be split
+    again = materialize(again.where("x <> y").select(F.col("h").alias("again"), "differ"))
+    left = materialize(found.join(again.hint("merge"), F.col("h") == F.col("again"), "left").where("s IS NULL OR again IS NOT NULL").drop("again"))
+    discard(found, again)
     spans = left.where("s IS NULL").select(*same_text, "b", "e")
 
-    # 3. equal stretches
-    shown = left.where("s IS NOT NULL").join(texts.hint("merge"), same_text)
-    place = F.struct("id", "th", "b")
-    firsts = materialize(shown.groupBy("h", "s").agg(F.min(F.struct("id", "th", "b", "n", "e")).alias("first")))
-    later = shown.join(firsts.hint("merge"), ["h", "s"]).where(place != F.struct("first.id", "first.th", "first.b")).select(*same_text, "b", "e")
+    # 3. equal stretches: of a text that several rows have, the others show the same places
+    shown = left.where("s IS NOT NULL")
+    firsts = materialize(shown.groupBy("h", "s").agg(F.min(F.struct("id", "th", "b", "n", "e")).alias("first"), F.first("differ").alias("differ")))
+    place = F.struct("th", "n", "b")
+    later = shown.join(firsts.select("h", "s", "first").hint("merge"), ["h", "s"]).where(place != F.struct("first.th", "first.n", "first.b")).select(*same_text, "b", "e")
 
     # 4. the texts of stretches that share their anchor with others, once each; sorted in buckets
-    kinds = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = firsts.join(kinds.hint("merge"), "h").select("h", "kinds", "first.*")
-    wanted = wanted.groupBy("id", *same_text).agg(F.collect_list(F.struct("h", "kinds", "b", "e")).alias("wanted"))
-    read = docs.select("id", *same_text, "text").hint("merge").join(wanted, ["id", *same_text])
-    read = read.select("id", *same_text, "text", "wanted")
-    stretch = materialize(arrow_map(read, _emit_texts, "h long, kinds long, id long, th long, n long, b long, stretch binary"))
-    dealt = stretch.where(F.col("kinds") <= MOST_STRETCHES).select("h", "id", "th", "b", "stretch", "n").repartition("h").sortWithinPartitions("h", "id", "th", "b")
-    sorted_out = arrow_map(dealt, _sort_buckets, "th long, n long, b long, e long")
+    wanted = firsts.where("differ").select("h", "first.*").groupBy("id", *same_text).agg(F.collect_list(F.struct("h", "b", "e")).alias("wanted"))
+    read = docs.select("id", *same_text, "text").hint("merge").join(materialize(wanted), ["id", *same_text])
+    stretch = materialize(arrow_map(read.select("id", *same_text, "text", "wanted"), _emit_texts, "h long, id long, th long, n long, b long, stretch binary"))
 
     # 5. an anchor with too many different stretches for a bucket: its strings are dealt by their own hash
-    single = stretch.where(F.col("kinds") > MOST_STRETCHES).select("id", *same_text, "b", "stretch", F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - LENGTH)).alias("i"))
-    string = F.expr(f"substring(stretch, i + 1, {LENGTH})")
-    single = single.select("id", *same_text, (F.col("b") + F.col("i")).alias("b"), F.xxhash64(string).alias("s1"), F.xxhash64(F.lit(1), string).alias("s2"))
-    least = single.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("s1", "s2", "first")
-    dealt_out = single.join(least.hint("merge"), ["s1", "s2"]).where(place != F.col("first")).select(*same_text, "b", (F.col("b") + LENGTH).alias("e"))
+    hot = materialize(firsts.where("differ").groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_STRETCHES).select("h"))
+    cold, dealt_out = stretch, None
+    if not hot.isEmpty():
+        cold = stretch.join(hot, "h", "left_anti")
+        single = stretch.join(hot, "h", "left_semi").select("id", *same_text, "b", "stretch", F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - LENGTH)).alias("i"))
+        string = F.expr(f"substring(stretch, i + 1, {LENGTH})")
+        single = materialize(single.select("id", *same_text, (F.col("b") + F.col("i")).alias("b"), F.xxhash64(string).alias("s1"), F.xxhash64(F.lit(1), string).alias("s2")))
+        whole = F.struct("id", "th", "b")
+        least = materialize(single.groupBy("s1", "s2").agg(F.min(whole).alias("first"), F.max(whole).alias("last")).where("first <> last").select("s1", "s2", "first"))
+        dealt_out = single.join(least.hint("merge"), ["s1", "s2"]).where(whole != F.col("first")).select(*same_text, "b", (F.col("b") + LENGTH).alias("e"))
+    dealt = cold.select("h", "id", "th", "b", "stretch", "n").repartition("h").sortWithinPartitions("h", "id", "th", "b")
+    sorted_out = arrow_map(dealt, _sort_buckets, "th long, n long, b long, e long")
 
     # 6. cut
-    gone = spans.unionByName(later).unionByName(sorted_out).unionByName(dealt_out)
+    gone = spans.unionByName(later).unionByName(sorted_out)
+    if dealt_out is not None:
+        gone = gone.unionByName(dealt_out)
     gone = gone.groupBy(*same_text).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     judged = materialize(texts.hint("merge").join(gone, same_text, "left").select(F.col("th").alias("t_th"), F.col("n").alias("t_n"), F.col("id").alias("first_id"), "spans"))
     discard(left, firsts, stretch, texts)
