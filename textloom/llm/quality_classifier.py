@@ -19,7 +19,7 @@ from textloom.llm.common import arrow_map, chunks, doc_rows
 from textloom.llm.vector import U, Words, mix, sums
 
 BITS = 18
-#: Training reads at most so many labelled texts: those with the least hash of their id.
+#: Training reads at most so many labelled texts unless told otherwise: those with the least hash of their id.
 SAMPLE = 12_000
 #: Passes over the sample: a small one is too little for one pass.
 EPOCHS = 2
@@ -84,7 +84,7 @@ def sparse(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame) -> np.ndarray:
-    """Weights from ``sort long, text string, label double``: at most SAMPLE rows, streamed in order through one task."""
+    """Weights from ``sort long, text string, label double``: a bounded sample, streamed in order through one task."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,18 +114,22 @@ def fold_of(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % folds
 
 
-def classify_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, held_out, score, predicted``. Fold 0 is held out and never trained on.
+def classify_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, held_out, score, predicted``. Fold 0 is held out and never trained on. Training
+    reads ``sample`` labelled documents at most, chosen among those that ``df`` holds.
 
     Labels are 1 or 0; null labels and ids are ignored, and of several labels of an id the greatest counts. Null and
     empty texts get the intercept's score. Without any label every score is 0.5. Repeated rows give repeated rows, an
-    empty table gives none, further columns are ignored. Training joins the documents with a broadcast of at most SAMPLE
-    labels; scoring is a scan with a broadcast of fixed size.
+    empty table gives none, further columns are ignored. Training joins the documents with a broadcast of at most
+    ``sample`` labels; scoring is a scan with a broadcast of fixed size.
     """
     rows = doc_rows(df, id_col, text_col)
     known = labels.select(labels[id_col].cast("long").alias("l_id"), labels[label_col].cast("double").alias("label")).where("l_id IS NOT NULL AND label IS NOT NULL")
-    sample = known.where(fold_of(F.col("l_id")) != 0).groupBy("l_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(SAMPLE)
-    labelled = rows.join(F.broadcast(sample), rows.doc_id == F.col("l_id")).select(F.xxhash64("l_id").alias("sort"), "text", "label")
+    known = known.where(fold_of(F.col("l_id")) != 0).groupBy("l_id").agg(F.max("label").alias("label"))
+    # labels without a document are left out before the sample is cut; only ids meet here
+    present = known.hint("merge").join(rows.select("doc_id"), F.col("l_id") == F.col("doc_id"), "left_semi")
+    chosen = present.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
+    labelled = rows.join(F.broadcast(chosen), rows.doc_id == F.col("l_id")).select(F.xxhash64("l_id").alias("sort"), "text", "label")
     shared = df.sparkSession.sparkContext.broadcast(train(labelled))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
