@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -104,6 +106,58 @@ def test_features_against_plain():
         assert (alone == places[first[i] : first[i + 1]]).all() and f[1] == len(t.split())
 
 
+def plain_leader(examples, epochs=C.EPOCHS):
+    """Follow-the-regularised-leader, one coordinate after the other, in dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= C.L1:
+            return 0.0
+        return -(z[i] - math.copysign(C.L1, z[i])) / ((C.BETA + math.sqrt(n[i])) / C.ALPHA + C.L2)
+
+    for _ in range(epochs):
+        for x, y in examples:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / C.ALPHA * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_against_a_plain_loop(spark):
+    docs = table(spark, SF, "documents").join(table(spark, SF, "labels"), "doc_id").where("crc32(cast(doc_id AS string)) % 5 <> 0").limit(60)
+    rows = docs.selectExpr("xxhash64(doc_id) AS sort", "text", "cast(quality AS double) AS label").collect()
+    examples = []
+    for r in sorted(rows, key=lambda r: r.sort):
+        places, _ = C.features([r.text.encode()])
+        x = Counter(places.ravel().tolist())
+        examples.append(({i: c * C.SCALE / len(places) for i, c in x.items()} | {1 << C.BITS: 1.0}, r.label))
+    want = plain_leader(examples)
+    got = C.train(spark.createDataFrame([tuple(r) for r in rows], "sort long, text string, label double").repartition(3))
+    assert max(abs(got[i] - w) for i, w in want.items()) < 1e-6
+    assert set(np.flatnonzero(got).tolist()) <= set(want)
+
+
+def test_sample_is_cut_among_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} words here {i}") for i in range(1, 41)], "doc_id long, text string")
+    labels = spark.range(0, 5000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    out = C.classify_quality(docs, labels, sample=50).collect()
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in out)
+
+
+def test_a_long_text_is_counted_in_bounded_memory():
+    text = " ".join(f"word{i % 70_000}" for i in range(150_000)).encode()
+    tracemalloc.start()
+    got = Q.base_counts([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_repeat_words"][0] == plain_counts(text.decode())[4]
+    assert peak < 60 * len(text)
+
+
 def test_classifier_on_hard_documents(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 0), (999, 1)], "doc_id long, quality int")
     out = C.classify_quality(hard.frame(spark), labels).collect()

@@ -8,7 +8,6 @@ choice: the same corpus always gives the same verdicts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +17,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map, chunks, doc_rows
 from textloom.llm.vector import SPACE, U, Words, joined, mix, sums
+from textloom.plans.storage import materialize
 
 GRAM, BITS = 4, 16
 #: Counts travel in slices of so many buckets, so that no task gathers all of them from all others.
 SLICE = 1 << 10
+#: Bytes of a text whose n-grams are counted together, and bits of the filter of trusted ids.
+PIECE, FILTER_BITS = 1 << 20, 23
 #: A text is kept from this mean log-ratio on. Clean prose scores around the log of the inverse clean share, slightly above
 #: zero; text in a style that the target lacks scores below -1.
 THRESHOLD = -0.5
@@ -48,21 +50,28 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (mix(h) >> U(64 - BITS)).astype(np.int64)[np.cumsum(inside[:-1]).astype(bool)], first
 
 
-def gram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts over all ``text`` and over those with ``trusted``: two arrays of fixed size, whatever the corpus."""
+def pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Texts cut so that no piece is much over PIECE bytes and every n-gram is in one, and the text that each is of."""
+    out, of = [], []
+    for i, t in enumerate(texts):
+        for k in range(0, max(1, len(t) - GRAM + 1), PIECE):
+            out.append(t[k : k + PIECE + GRAM - 1])
+            of.append(i)
+    return out, np.array(of, np.int64)
+
+
+def gram_counts(rows: DataFrame) -> np.ndarray:
+    """Bucket counts over all ``text``: an array of fixed size, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            texts = [t.encode() for t in b.column(0).to_pylist()]
-            trusted = np.array(b.column(1).to_pylist(), bool)
+            texts, _ = pieces([t.encode() for t in b.column(0).to_pylist()])
             for i, j in chunks(texts):
-                g, first = buckets(texts[i:j])
-                total[0] += np.bincount(g, minlength=1 << BITS)
-                total[1] += np.bincount(g[np.repeat(trusted[i:j], np.diff(first))], minlength=1 << BITS)
-        if total[0].any():
+                total += np.bincount(buckets(texts[i:j])[0], minlength=1 << BITS)
+        if total.any():
             parts = range(0, 1 << BITS, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array([p // SLICE for p in parts], pa.int32()), pa.array([total[:, p : p + SLICE].tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([p // SLICE for p in parts], pa.int32()), pa.array([total[p : p + SLICE].tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -73,11 +82,22 @@ def gram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = arrow_map(arrow_map(rows.select("text", "trusted"), count, schema).repartition("slice"), add, schema)
-    total = np.zeros((2, 1 << BITS), np.int64)
+    parts = arrow_map(arrow_map(rows.select("text"), count, schema).repartition("slice"), add, schema)
+    total = np.zeros(1 << BITS, np.int64)
     for k, c in parts.collect():  # one row for each slice
-        total[:, k * SLICE : (k + 1) * SLICE] = np.frombuffer(c, np.int64).reshape(2, SLICE)
-    return total[0], total[1]
+        total[k * SLICE : (k + 1) * SLICE] = np.frombuffer(c, np.int64)
+    return total
+
+
+def maybe_trusted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``t_id``, by a filter of one hash and 2**FILTER_BITS bits: as 64-bit words it is a
+    table of bounded size, so it is broadcast whatever the number of ids."""
+    place = lambda c: f"pmod(xxhash64({c}), {1 << FILTER_BITS}L)"
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({place(c)} & 63 AS int))")
+    word = lambda c: F.expr(f"shiftright({place(c)}, 6)")
+    words = ids.groupBy(word("t_id").alias("word")).agg(F.bit_or(bit("t_id")).alias("bits"))
+    marked = rows.join(F.broadcast(words), word("doc_id") == F.col("word"))
+    return marked.where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -88,16 +108,37 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return share(target) - share(raw)
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in windows that are found twice or more, the first time included."""
-    windows = list(zip(*(words[k:] for k in range(REPEAT_WINDOW)), strict=False))
-    seen = Counter(windows)
-    covered, upto = 0, 0
-    for i, w in enumerate(windows):
-        if seen[w] > 1:
-            covered += i + REPEAT_WINDOW - max(i, upto)
-            upto = i + REPEAT_WINDOW
-    return covered
+def repeated_words(text: bytes, start: np.ndarray, end: np.ndarray) -> int:
+    """Words in windows that are found twice or more, the first time included. Words are numbered, and windows sorted by a
+    hash of their numbers; windows that meet there are compared number by number, so the count is exact."""
+    known: dict[bytes, int] = {}
+    number = np.empty(len(start), np.int64)
+    for i in range(0, len(start), 1 << 16):
+        a, z = start[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist()
+        number[i : i + len(a)] = [known.setdefault(text[x:y], len(known)) for x, y in zip(a, z, strict=True)]
+    n = len(number) - REPEAT_WINDOW + 1
+    if n < 2:
+        return 0
+    h = np.zeros(n, U)
+    for k in range(REPEAT_WINDOW):
+        h = h * U(0xD6E8FEB86659FD93) + mix(number[k : k + n].astype(U))
+    order = np.argsort(h, kind="stable")
+    near = np.flatnonzero(h[order][1:] == h[order][:-1])
+    a, b = order[near], order[near + 1]
+    same = np.ones(len(near), bool)
+    for k in range(REPEAT_WINDOW):
+        same &= number[a + k] == number[b + k]
+    if not same.all():  # different windows of one hash: those that share it are told apart by their numbers
+        at = np.unique(np.concatenate([a, b]))
+        _, which, count = np.unique(np.stack([number[at + k] for k in range(REPEAT_WINDOW)], 1), axis=0, return_inverse=True, return_counts=True)
+        at = at[count[which] > 1]
+    else:
+        at = np.concatenate([a, b])
+    covered = np.zeros(len(number) + 1, np.int64)
+    at = np.unique(at)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + REPEAT_WINDOW, -1)
+    return int(np.count_nonzero(np.cumsum(covered[:-1])))
 
 
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -122,8 +163,9 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     order = np.argsort(key)
     again = np.flatnonzero(key[order][1:] == key[order][:-1])
     repeated = np.zeros(len(texts), np.int64)
-    for i in np.unique(text[order[again]]):
-        repeated[i] = repeated_words(texts[i].split())
+    for i in np.unique(text[order[again]]).tolist():
+        a, z = w.first[i], w.first[i + 1]
+        repeated[i] = repeated_words(texts[i], w.start[a:z] - w.text_start[i], w.end[a:z] - w.text_start[i])
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": np.array(duplicate, np.int64), "n_repeat_words": repeated}
 
 
@@ -131,22 +173,28 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def ratios_of(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Raw counts by a scan; the target's counts over the texts that may be trusted, the only ones that are shuffled."""
     rows = doc_rows(df, id_col, text_col)
-    ids = trusted.select(trusted[trusted.columns[0]].cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct()
+    ids = materialize(trusted.select(trusted[trusted.columns[0]].cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct())
+    marked = maybe_trusted(rows, ids)
     # always a sort-merge join: whether the ids would fit a broadcast changes with the corpus
-    marked = rows.hint("merge").join(ids, rows.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
-    return log_ratios(*gram_counts(marked))
+    target = marked.hint("merge").join(ids, marked.doc_id == ids.t_id, "left_semi")
+    return log_ratios(gram_counts(rows), gram_counts(target))
 
 
 def judged_texts(texts: list[bytes], ratio: np.ndarray) -> dict[str, np.ndarray]:
     """The base counts and the score of each text."""
-    found: dict[str, list[np.ndarray]] = {c: [np.zeros(0)] for c in (*COUNTS, "score")}
+    found: dict[str, list[np.ndarray]] = {c: [np.zeros(0)] for c in COUNTS}
     for i, j in chunks(texts):
         for c, v in base_counts(texts[i:j]).items():
             found[c].append(v)
-        g, first = buckets(texts[i:j])
-        found["score"].append(sums(ratio[g], first) / np.maximum(np.diff(first), 1))
-    return {c: np.concatenate(v).astype(np.float64 if c == "score" else np.int64) for c, v in found.items()}
+    parts, of = pieces(texts)
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for i, j in chunks(parts):
+        g, first = buckets(parts[i:j])
+        np.add.at(total, of[i:j], sums(ratio[g], first))
+        np.add.at(n, of[i:j], np.diff(first))
+    return {c: np.concatenate(v).astype(np.int64) for c, v in found.items()} | {"score": total / np.maximum(n, 1)}
 
 
 def base_rules_fail(n_words, n_repeat_words):
@@ -158,8 +206,8 @@ def quality_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
 
     ``trusted`` holds the ids of the target's rows (repeated ids count once, null ids never). Null and empty texts have
     no words, fail the base rules, and score 0, as do texts shorter than an n-gram. Repeated rows give repeated rows and
-    count each; an empty table gives none; further columns are ignored. The documents are shuffled once, to meet the
-    trusted ids; counts and scores are scans, and what is broadcast has a fixed size.
+    count each; an empty table gives none; further columns are ignored. Only texts that may be trusted are shuffled, to
+    meet the trusted ids; counts and scores are scans, and what is broadcast has a fixed size.
     """
     ratios = df.sparkSession.sparkContext.broadcast(ratios_of(df, trusted, id_col, text_col))
 

@@ -11,6 +11,8 @@ P_INVERSE = pow(P, -1, 1 << 64)
 #: Which bytes are white space: space, tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Bytes of a text that are hashed together.
+TOGETHER = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -55,9 +57,16 @@ class Words:
     def hashes(self, values: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word (of ``values`` in the place of the bytes, as after lower-casing)."""
         v = self.bytes if values is None else values
-        total = np.zeros(len(v) + 1, U)
-        np.cumsum((v.astype(U) + U(1)) * powers(P, len(v)), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * powers(P_INVERSE, len(v))[self.start])
+        out = np.empty(len(self.start), U)
+        i = 0
+        while i < len(out):  # some words at a time: a hash does not depend on where its word stands
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + TOGETHER, "right")))
+            a, z = int(self.start[i]), int(self.end[j - 1])
+            total = np.zeros(z - a + 1, U)
+            np.cumsum((v[a:z].astype(U) + U(1)) * powers(P, z - a), out=total[1:])
+            out[i:j] = mix((total[self.end[i:j] - a] - total[self.start[i:j] - a]) * powers(P_INVERSE, z - a)[self.start[i:j] - a])
+            i = j
+        return out
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
