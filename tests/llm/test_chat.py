@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 
+from tests.llm import hard
 from textloom.llm import chat as T
 
 HARD = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\\\|", "<", "|", "<|", "", "a\nb", "\\", "<<||>>", "日本 <|im_start|>"]
@@ -13,7 +15,7 @@ def plain_fold(events):
         if event == "regenerate":
             state = {m: v for m, v in state.items() if m < message}
         elif event == "edit":
-            state[message] = [state.get(message, [role])[0] if False else role, text or ""]
+            state[message] = [role, text or ""]
         elif event in ("message", "delta"):
             if message in state:
                 state[message][1] += text or ""
@@ -58,6 +60,26 @@ def test_read_back(spark):
     assert T.chat_digests(T.format_chats(T.turns_as_events(df.limit(0)))).count() == 0
 
 
+def test_one_shuffle(spark):
+    """Folding, rendering and reading back all work on a conversation's rows where the first shuffle has put them."""
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    plan = T.chat_digests(T.format_chats(T.turns_as_events(df)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_hard_documents_and_a_long_conversation(spark):
+    """Odd documents as turns: clashing columns, nulls, long texts, repeated rows; and many turns of one conversation."""
+    rows = hard.frame(spark).selectExpr("doc_id % 3 AS conv_id", "doc_id AS turn", "if(doc_id % 2 = 0, 'user', 'assistant') AS role", "text", "fp", "`row`", "stats AS part", "key AS b")
+    rows = rows.unionByName(spark.range(6000).selectExpr("77L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('<|', id, repeat(' é', 20)) AS text"), allowMissingColumns=True)
+    got = {r.conv_id: r for r in T.chat_digests(T.format_chats(T.turns_as_events(rows))).collect()}
+    for c, want in itertools.groupby(sorted(((r.conv_id is not None, r.conv_id, r.turn is not None, r.turn, r.role is not None, r.role or "", r.text is not None, r.text or "") for r in rows.collect()), key=lambda r: tuple(x or 0 if i in (1, 3) else x for i, x in enumerate(r))), key=lambda r: r[1]):
+        want = list(want)
+        loss = "".join(r[7] for r in want if r[5] == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_sha256) == (len(want), sha("".join(f"{r[5]}\n{r[7]}\n" for r in want)), sha(loss)), c
+    assert got[77].n_turns == 6000
+
+
 def test_spans_mark_the_loss_text(spark):
     df = spark.createDataFrame([(1, 0, "user", "<|im_end|>"), (1, 1, "assistant", "日 <|x"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
     f = T.format_chats(T.turns_as_events(df)).first()

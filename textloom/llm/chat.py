@@ -23,8 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from textloom.plans.storage import materialize
-
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -97,24 +95,26 @@ def format_chats(events: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse render()'s output: ``conv_id, turn, role, text, loss_text`` (null where the loss mask has no span)."""
-    parts = formatted.select("conv_id", F.posexplode(F.split("formatted", r"<\|im_start\|>"))).where("pos > 0")
-    at = F.sum(F.length("col") + len(START)).over(W.partitionBy("conv_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.length("col")
-    parts = parts.withColumn("r", F.substring_index("col", "\n", 1))
-    parts = parts.select("conv_id", "pos", "r", (at + F.length("r") + 1).alias("start"), F.expr(f"substring(col, length(r) + 2, length(col) - length(r) - 1 - {len(END) + 1})").alias("t"))
-    spans = formatted.select(F.col("conv_id").alias("c"), F.explode("loss_spans").alias("s")).select("c", F.col("s.start").alias("b"), F.col("s.length").alias("n"))
-    both = parts.join(spans, parts.conv_id.eqNullSafe(spans.c) & (parts.start == spans.b), "left")
-    return both.select("conv_id", F.col("pos").cast("long").alias("turn"), unescape_role(F.col("r")).alias("role"), unescape(F.col("t")).alias("text"), unescape(F.expr("substring(t, 1, cast(n as int))")).alias("loss_text"))
+    """Parse render()'s output: ``conv_id, turn, role, text, loss_text`` (null where the loss mask has no span), and the
+    ``formatted_chars`` of the conversation.
+
+    Messages and spans are exploded together and meet by their places in windows over the conversation, so a plan that
+    holds a conversation's rows together already, as render()'s does, is not shuffled again.
+    """
+    part, span = "struct(x AS part, cast(NULL AS bigint) AS b, cast(NULL AS bigint) AS n)", "struct(cast(NULL AS string) AS part, x.start AS b, x.length AS n)"
+    events = F.expr(rf"concat(transform(split(formatted, '<\\|im_start\\|>'), x -> {part}), transform(loss_spans, x -> {span}))")
+    rows = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.posexplode(events).alias("pos", "e")).select("conv_id", "formatted_chars", "pos", "e.*").where("pos > 0")
+    at = F.sum(F.length("part") + len(START)).over(W.partitionBy("conv_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.length("part")
+    rows = rows.withColumn("r", F.substring_index("part", "\n", 1)).withColumn("start", F.coalesce("b", at + F.length("r") + 1))
+    placed = W.partitionBy("conv_id").orderBy("start", F.col("part").isNull())
+    rows = rows.withColumn("length", F.when(F.lead("b").over(placed) == F.col("start"), F.lead("n").over(placed))).where("part IS NOT NULL")
+    rows = rows.select("conv_id", "formatted_chars", "pos", "r", "length", F.expr(f"substring(part, length(r) + 2, length(part) - length(r) - 1 - {len(END) + 1})").alias("t"))
+    return rows.select("conv_id", F.col("pos").cast("long").alias("turn"), unescape_role(F.col("r")).alias("role"), unescape(F.col("t")).alias("text"), unescape(F.expr("substring(t, 1, cast(length as int))")).alias("loss_text"), "formatted_chars")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, all read back from the output, which
-    is written to the shared folder first."""
-    formatted = materialize(formatted)
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, all read back from the output."""
     turn = F.struct("turn", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"), F.coalesce("loss_text", F.lit("")).alias("loss"))
-    turns = read_back(formatted).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(turn)).alias("t"))
-    turns = turns.select("conv_id", "n_turns", F.array_join(F.transform("t", lambda x: x["said"]), "").alias("said"), F.array_join(F.transform("t", lambda x: x["loss"]), "").alias("loss"))
-    chars = formatted.select(F.col("conv_id").alias("c"), F.length("formatted").cast("long").alias("formatted_chars"))
-    return turns.join(chars, turns.conv_id.eqNullSafe(chars.c)).select(
-        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
-    )
+    turns = read_back(formatted).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.max("formatted_chars").alias("formatted_chars"), F.array_sort(F.collect_list(turn)).alias("t"))
+    turns = turns.select("conv_id", "n_turns", "formatted_chars", F.array_join(F.transform("t", lambda x: x["said"]), "").alias("said"), F.array_join(F.transform("t", lambda x: x["loss"]), "").alias("loss"))
+    return turns.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.chat import chat_digests, format_chats, turns_as_events
+from textloom.llm.chat import chat_digests, fold_events, format_chats, turns_as_events
 from textloom.llm.decontaminate import contaminated
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.pieces import encoding_digests
@@ -72,6 +72,25 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns_as_events(turns.unionByName(probe))))
 
 
+def chat_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a log of streamed deltas, edits and regenerations, folded back to the final messages.
+
+    Every turn is drafted, regenerated and streamed again in three deltas; every third one gets a wrong text that an edit
+    replaces, with a delta behind the edit; behind the last turn comes one that a regeneration takes away.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda at, kind, text, message="turn": f"struct({message} * 10 + {at} AS seq, '{kind}' AS event, {message} AS message, role, {text} AS text)"
+    third = "cast(ceil(length(text) / 3) AS int)"
+    streamed = [event(2, "delta", f"substring(text, 1, {third})"), event(3, "delta", f"substring(text, {third} + 1, {third})"), event(4, "delta", f"substring(text, 2 * {third} + 1)")]
+    edited = [event(2, "message", "'wrong'"), event(3, "edit", f"substring(text, 1, {third})"), event(4, "delta", f"substring(text, {third} + 1)")]
+    draft = [event(0, "delta", "'a draft'"), event(1, "regenerate", "NULL")]
+    gone = [event(5, "message", "'never sent'", "turn + 1"), event(6, "regenerate", "NULL", "turn + 1")]
+    last = "turn = max(turn) OVER (PARTITION BY conv_id)"
+    log = turns.selectExpr("conv_id", f"concat(array({', '.join(draft)}), if(turn % 3 = 0, array({', '.join(edited)}), array({', '.join(streamed)})), if({last}, array({', '.join(gone)}), array())) AS events")
+    messages = fold_events(log.select("conv_id", F.explode("events").alias("e")).select("conv_id", "e.*"))
+    return messages.select("conv_id", "message", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_substrings(table(spark, sf_dir, "documents")))
 
@@ -98,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+#: Queries beside the ten.
+FURTHER: dict[str, Callable[[SparkSession, str], DataFrame]] = {"chat_event_log": chat_event_log}
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH lines AS (
@@ -125,6 +147,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC) = 1
     """,
+    "chat_event_log": "SELECT conv_id, turn AS message, role, sha256(coalesce(text, '')) AS text_sha256 FROM conversations",
     "op7_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
