@@ -103,7 +103,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     part, span = "struct(x AS part, cast(NULL AS bigint) AS b, cast(NULL AS bigint) AS n)", "struct(cast(NULL AS string) AS part, x.start AS b, x.length AS n)"
     events = F.expr(rf"concat(transform(split(formatted, '<\\|im_start\\|>'), x -> {part}), transform(loss_spans, x -> {span}))")
-    rows = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.posexplode(events).alias("pos", "e")).select("conv_id", "formatted_chars", "pos", "e.*").where("pos > 0")
+    # the length is taken below the generator, or every exploded row would carry the whole conversation
+    counted = formatted.select("conv_id", "formatted", "loss_spans", F.length("formatted").cast("long").alias("formatted_chars"))
+    rows = counted.select("conv_id", "formatted_chars", F.posexplode(events).alias("pos", "e")).select("conv_id", "formatted_chars", "pos", "e.*").where("pos > 0")
     at = F.sum(F.length("part") + len(START)).over(W.partitionBy("conv_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.length("part")
     rows = rows.withColumn("r", F.substring_index("part", "\n", 1)).withColumn("start", F.coalesce("b", at + F.length("r") + 1))
     placed = W.partitionBy("conv_id").orderBy("start", F.col("part").isNull())
