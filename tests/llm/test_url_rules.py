@@ -1,5 +1,7 @@
 import random
 
+from tests.llm import hard
+from textloom.llm import url_rules
 from textloom.llm.queries import URL_RULES
 from textloom.llm.url_rules import filter_urls
 
@@ -37,6 +39,28 @@ def test_against_plain(spark):
     assert filter_urls(df.limit(0), RULES).count() == 0
 
 
+def test_rules_in_several_sweeps(spark, monkeypatch):
+    r = random.Random(4)
+    rules = [(r.choice(["allow", "block"]), ".".join(r.choices(["a", "b", "c", "com", "org"], k=r.randint(1, 3))), "".join(r.choices(["/", "x", "y"], k=r.randint(0, 4)))) for _ in range(300)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    df = spark.createDataFrame(list(enumerate(urls(seed=6))), "page_id long, url string").repartition(3)
+    one = sorted(map(tuple, filter_urls(df, rules).collect()))
+    assert one == sorted((i, *plain(u, rules)) for i, u in enumerate(urls(seed=6)))
+    monkeypatch.setattr(url_rules, "MOST_RULES", 40)
+    assert sorted(map(tuple, filter_urls(df, rules).collect())) == one
+
+
+def test_hard_urls(spark):
+    """Clashing column names, repeated and null rows, very long urls, an empty table."""
+    rows = hard.frame(spark).selectExpr("doc_id AS page_id", "concat('http://a.com/x', text) AS url", "fp AS host", "h AS path", "key", "th AS rule", "`row` AS verdict", "doc_id AS reach")
+    rows = rows.unionByName(spark.createDataFrame([(900, "http://" + "b." * 30_000 + "a.com/" + "x" * 300_000), (901, "http://b.a.com/x" + "/y" * 100_000)], "page_id long, url string"), allowMissingColumns=True)
+    out = filter_urls(rows, RULES)
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict"]
+    want = [(r.page_id, *plain(r.url, RULES)) for r in rows.collect()]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert filter_urls(rows.limit(0), RULES).count() == 0
+
+
 def test_a_hot_host_is_spread(spark):
     df = spark.range(20_000).selectExpr("id AS page_id", "if(id % 3 = 0, concat('http://hot.com/', id), concat('http://h', id, '.com/')) AS url")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is too small to be kept apart

@@ -1,10 +1,12 @@
 """URL allow and block rules, by a sort-merge range join.
 
 A host is keyed by its labels from last to first, so a rule's host and all its subdomains are one interval of keys:
-``[com.example., com.example/)`` (a dot sorts just below a slash, and a key always ends in a dot). URLs are range-
-partitioned and sorted by key; a sweep over each partition keeps a stack of the rule hosts whose intervals hold the
-current key. The intervals nest, so leaving and entering are pops and pushes. Among the rules of the hosts on the stack
-those fit whose path begins the URL's path; the longest one (host and path together; then the longer host) wins.
+``[com.example., com.example/)`` (a dot sorts just below a slash, and a key always ends in a dot). The paths that begin
+with a rule's path are an interval of paths likewise. URLs are range-partitioned and sorted by key and path; a sweep over
+each partition keeps a stack of the rule hosts whose intervals hold the current key, and for each of these a stack of its
+rule paths whose intervals hold the current path. Intervals nest, so leaving and entering are pops and pushes, and the
+top of a stack is the longest fit. Among the hosts' longest the longest rule (host and path together; then the longer
+host) wins.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map
 
-#: The most rules that are sent to every executor; larger lists need cutting by range as the URLs are.
+#: The most rules of one sweep, which are sent to every executor. Of more rules, ranges of hosts are swept one after the
+#: other over the same sorted URLs, each carrying on the best rule so far.
 MOST_RULES = 1_000_000
 
 
@@ -40,61 +43,71 @@ def reversed_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
-class Sweep:
-    """The rules as nested intervals over sorted host keys."""
+class Nested:
+    """Strings as nested intervals (all that begins with them), swept by ascending strings; a step back starts anew."""
 
-    def __init__(self, rules: Sequence[tuple[str, str, str]], default: str):
-        by_host: dict[str, list[tuple[str, str, str]]] = {}
-        for verdict, host, path in rules:
-            by_host.setdefault(reversed_key(host), []).append((path, host + path, verdict))
-        self.default = default
-        self.keys = sorted(by_host)
-        self.rules = [sorted(by_host[k], key=lambda r: (-len(r[0]), r)) for k in self.keys]
+    def __init__(self, keys: Sequence[str]):
+        self.keys = sorted(keys)
         # the enclosing interval of each, as the sweep may start anywhere
         self.parent: list[int] = []
-        stack: list[int] = []
         for i, k in enumerate(self.keys):
-            while stack and not k.startswith(self.keys[stack[-1]]):
-                stack.pop()
-            self.parent.append(stack[-1] if stack else -1)
-            stack.append(i)
+            j = i - 1
+            while j >= 0 and not k.startswith(self.keys[j]):
+                j = self.parent[j]
+            self.parent.append(j)
         self.stack: list[int] = []
         self.next = 0
         self.last: str | None = None
 
-    def at(self, key: str) -> None:
-        """Move to ``key``; keys come in ascending order within a partition."""
-        if key == self.last:
-            return
-        if self.last is None or key < self.last:
-            self.next = bisect_right(self.keys, key)
-            self.stack = []
+    def at(self, value: str) -> list[int]:
+        """Numbers of the intervals that hold ``value``, the longest last."""
+        if value == self.last:
+            return self.stack
+        keys, stack = self.keys, self.stack
+        if self.last is None or value < self.last:
+            self.next = bisect_right(keys, value)
             i = self.next - 1
-            while i >= 0 and not key.startswith(self.keys[i]):
+            while i >= 0 and not value.startswith(keys[i]):
                 i = self.parent[i]
+            stack.clear()
             while i >= 0:
-                self.stack.insert(0, i)
+                stack.append(i)
                 i = self.parent[i]
+            stack.reverse()
         else:
-            while self.next < len(self.keys) and self.keys[self.next] <= key:
-                while self.stack and not self.keys[self.next].startswith(self.keys[self.stack[-1]]):
-                    self.stack.pop()
-                self.stack.append(self.next)
+            while self.next < len(keys) and keys[self.next] <= value:
+                while stack and not keys[self.next].startswith(keys[stack[-1]]):
+                    stack.pop()
+                stack.append(self.next)
                 self.next += 1
-            while self.stack and not key.startswith(self.keys[self.stack[-1]]):
-                self.stack.pop()
-        self.last = key
-
-    def judge(self, key: str, path: str) -> tuple[str | None, str]:
-        self.at(key)
-        best: tuple[int, str, str] | None = None
-        for i in reversed(self.stack):  # longer hosts first: they win ties
-            for rule_path, text, verdict in self.rules[i]:
-                if path.startswith(rule_path):
-                    if best is None or len(text) > best[0]:
-                        best = (len(text), text, verdict)
-                    break
-        return (best[1], best[2]) if best else (None, self.default)
+            while stack and not value.startswith(keys[stack[-1]]):
+                stack.pop()
+        self.last = value
+        return stack
+
+
+class Sweep:
+    """The rules: nested hosts, and nested paths of each host."""
+
+    def __init__(self, rules: Sequence[tuple[str, str, str]]):
+        by_host: dict[str, dict[str, tuple[str, str]]] = {}
+        for verdict, host, path in rules:
+            of = by_host.setdefault(reversed_key(host), {})
+            of[path] = min(of.get(path, (verdict, host + path)), (verdict, host + path))
+        self.hosts = Nested(list(by_host))
+        self.paths = [Nested(list(by_host[k])) for k in self.hosts.keys]
+        self.rules = [[by_host[k][p] for p in n.keys] for k, n in zip(self.hosts.keys, self.paths, strict=True)]
+
+    def best(self, key: str, path: str) -> tuple[str, str, int] | None:
+        """(rule, verdict, length of the host's key) of the longest rule that fits."""
+        found = None
+        for i in reversed(self.hosts.at(key)):  # longer hosts first: they win ties
+            fits = self.paths[i].at(path)
+            if fits:
+                verdict, text = self.rules[i][fits[-1]]
+                if found is None or len(text) > len(found[0]):
+                    found = text, verdict, len(self.hosts.keys[i])
+        return found
 
 
 def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -105,17 +118,28 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], default: s
     give repeated rows, an empty table gives none, further columns are ignored. Only ids and urls are shuffled; a host
     with many pages is spread over partitions, as the path and the id take part in the ranges.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    shared = df.sparkSession.sparkContext.broadcast(sorted({tuple(r) for r in rules}))
+    url = df[url_col].cast("string")
+    keyed = df.select(df[id_col].cast("long").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path")).withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
+    none = (F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("reach"))
+    swept = keyed.repartitionByRange("key", "path", "page_id").sortWithinPartitions("key", "path").select("page_id", "host", "path", "key", *none)
+    every = sorted({tuple(r) for r in rules}, key=lambda r: (reversed_key(r[1]), r))
+    for i in range(0, len(every), MOST_RULES):
+        swept = _sweep(swept, every[i : i + MOST_RULES])
+    return swept.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _sweep(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Sorted urls with their best rule, over these rules and those swept before."""
+    shared = urls.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep(shared.value, default)
+        sweep = Sweep(shared.value)
         for b in batches:
-            found = [sweep.judge(k, p) for k, p in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
-    url = df[url_col].cast("string")
-    keyed = df.select(df[id_col].cast("long").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path")).withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
-    ranged = keyed.repartitionByRange("key", "path", "page_id").sortWithinPartitions("key")
-    return arrow_map(ranged, run, "page_id long, host string, path string, rule string, verdict string")
+            path, key, rule, verdict, reach = (b.column(i).to_pylist() for i in range(2, 7))
+            for i, (k, p) in enumerate(zip(key, path, strict=True)):
+                found = sweep.best(k, p)
+                if found and (rule[i] is None or (len(found[0]), found[2]) > (len(rule[i]), reach[i])):
+                    rule[i], verdict[i], reach[i] = found
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(reach, pa.int32())], ["page_id", "host", "path", "key", "rule", "verdict", "reach"])
+
+    return arrow_map(urls, run, "page_id long, host string, path string, key string, rule string, verdict string, reach int")
