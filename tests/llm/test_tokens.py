@@ -1,12 +1,13 @@
 import hashlib
+import json
 import random
 
 import pytest
 
 from tests.llm import hard
-from textloom.llm.pieces import Digests, decode_ids, encode_texts, encoding_digests, model_for
+from textloom.llm.pieces import Digests, check_model, decode_ids, encode_texts, encoding_digests, model_for
 from textloom.llm.queries import tokenizer
-from textloom.llm.token_counts import counts_for, count_tokens
+from textloom.llm.token_counts import check_settings, counts_for, count_tokens
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PARTS = ["a", "b", "the", " ", "  ", " " * 15, " " * 31, "\n", "\t", "é", "日", "😀", "<s>", "<0x0A>", "<|endoftext|>", "<|", "▁", "23", "'s", "!", "\xa0", "ſ", "ab" * 40, "hello", " world", "\x00", "при", "[", "];\n", "://", "x" * 700]
@@ -55,6 +56,34 @@ def test_pieces_equal_the_library():
         assert d.of(s) == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
 
 
+def test_other_files_are_refused(tmp_path):
+    with open(tokenizer(BYTES)) as f:
+        data = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": data["model"] | {"ignore_merges": True}}, {"added_tokens": [{"content": "<x>", "lstrip": True}]}):
+        with pytest.raises(ValueError, match="the vocabulary"):
+            check_settings(data | change)
+    with pytest.raises(ValueError, match="the vocabulary"):
+        counts_for(tokenizer("word_bpe_49k.json"))
+    with open(tokenizer(PIECES), "rb") as f:
+        model = f.read()
+    varint = lambda field, value: bytes([field << 3, value])
+    for part, settings in ((2, varint(3, 1)), (3, varint(3, 0)), (3, varint(4, 1)), (3, varint(5, 0)), (3, b"\x12\x01x"), (1, b"\x0a\x01q" + varint(3, 4))):
+        path = tmp_path / "odd.model"
+        path.write_bytes(model + bytes([part << 3 | 2, len(settings)]) + settings)  # a later field overrides an earlier one
+        with pytest.raises(ValueError, match="the model"):
+            check_model(str(path))
+    check_model(tokenizer(PIECES))
+
+
+def test_longest_matches():
+    m = model_for(tokenizer(PIECES))
+    for s in strings(300, 8):
+        s = "".join(c for c in s if c in m.chars)[:80]
+        for k in range(len(s)):
+            want = max(j for j in range(1, len(s) - k + 1) if s[k : k + j] in m.id)
+            assert next(v for e, v in m.automaton.iter(s[::-1]) if e == len(s) - 1 - k)[1] == want
+
+
 def test_decoding_of_any_ids():
     import sentencepiece
 

@@ -1,14 +1,16 @@
 """SentencePiece merge-type encoding by backtracking, and decoding.
 
 The encoding of a stretch is the one sequence of pieces that covers it and whose neighbours are all *compatible*: two
-pieces are compatible if merging their joined text from characters gives just these two again. It is found left to right:
-an Aho-Corasick automaton gives the longest match at a place, and the shorter ones are its prefixes; a piece is taken if it is
-compatible with the one before and no earlier try has failed from where it ends (a bitfield of failed positions); otherwise
-a shorter one is, and with none left the last piece is given up and the place marked as failed.
+pieces are compatible if merging their joined text from characters gives just these two again. An Aho-Corasick automaton of
+the pieces read backwards runs once over the stretch read backwards, and so gives the longest match that begins at every
+place; shorter ones are its prefixes. The sequence is found left to right: a piece is taken if it is compatible with the one
+before and no earlier try has failed from where it ends (a bitfield of failed positions); otherwise a shorter one is, and
+with none left the last piece is given up and the place marked as failed.
 
 Stretches come from cutting the text where no merge can cross: a piece holds the word mark only at its start (or is a run
-of marks), and characters outside the vocabulary stand alone and fall back to bytes. All of this is read from the model
-file and checked when it is loaded.
+of marks), and characters outside the vocabulary stand alone and fall back to bytes. That the model is one of these (its
+type and normalisation, its kinds of pieces, its word marks) is read from the file and checked when it is loaded; any
+other is an error.
 """
 
 from __future__ import annotations
@@ -30,12 +32,65 @@ MARK = "▁"
 REMEMBERED_WORDS, REMEMBERED_CHARS, REMEMBERED_PAIRS = 600_000, 64, 500_000
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in the wire format of protocol buffers."""
+    i = 0
+
+    def number() -> int:
+        nonlocal i
+        n = shift = 0
+        while True:
+            c = message[i]
+            i += 1
+            n |= (c & 127) << shift
+            shift += 7
+            if c < 128:
+                return n
+
+    while i < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, message[i : i + size]
+        i += size
+
+
+#: Numbers of fields in a model file, of its trainer's and its normalizer's settings and of a piece; the
+#: merge type of model; and the kind of piece that a user has defined.
+PIECE_FIELD, TRAINER_FIELD, NORMALIZER_FIELD, KIND_FIELD = 1, 2, 3, 3
+MODEL_TYPE, MARK_BEHIND, CHARACTER_MAP, DUMMY_PREFIX, DROP_SPACES, ESCAPE_SPACES = 3, 24, 2, 3, 4, 5
+MERGE_TYPE, USER_DEFINED = 2, 4
+
+
+def check_model(path: str) -> None:
+    """An error unless the file says what this encoder assumes. Fields that are not there have their defaults."""
+    with open(path, "rb") as f:
+        found = list(fields(f.read()))
+    settings = lambda k: dict(x for n, v in found if n == k for x in fields(v))
+    trainer, normalizer = settings(TRAINER_FIELD), settings(NORMALIZER_FIELD)
+    kinds = {dict(fields(v)).get(KIND_FIELD, 1) for n, v in found if n == PIECE_FIELD}
+    for wrong, what in (
+        (trainer.get(MODEL_TYPE, 1) != MERGE_TYPE, "is not of the merge type"),
+        (trainer.get(MARK_BEHIND, 0), "marks words behind them"),
+        (normalizer.get(CHARACTER_MAP, b""), "maps characters"),
+        (not normalizer.get(DUMMY_PREFIX, 1), "sets no mark before a text"),
+        (normalizer.get(DROP_SPACES, 1), "drops spaces"),
+        (not normalizer.get(ESCAPE_SPACES, 1), "does not mark spaces"),
+        (USER_DEFINED in kinds, "has pieces that a user has defined"),
+    ):
+        if wrong:
+            raise ValueError(f"the model {what}")
+
+
 class Model:
     """A merge-type model with byte fallback, identity normalisation and a word mark before the text."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        check_model(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -54,18 +109,12 @@ class Model:
         if any(c not in self.chars for p in self.id for c in p):
             raise ValueError("a piece holds a character that is no piece")
         self.adjacent = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.longest = max(map(len, self.id))
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self.automaton.add_word(p, i)
+            self.automaton.add_word(p[::-1], (i, len(p)))
         self.automaton.make_automaton()
-        # of every prefix of a piece the longest piece in it, and of every piece the next shorter one in it
-        self.at_prefix: dict[str, tuple[int, int]] = {}
-        for p in self.id:
-            for k in range(1, len(p) + 1):
-                if p[:k] not in self.at_prefix:
-                    self.at_prefix[p[:k]] = next((self.id[p[:j]], j) for j in range(k, 0, -1) if p[:j] in self.id)
-        self.shorter = {i: self.at_prefix.get(p[:-1]) for p, i in self.id.items()}
+        # of every piece the longest shorter one that it begins with
+        self.shorter = {i: next(((self.id[p[:k]], k) for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for p, i in self.id.items()}
         self.digits = [str(i) for i in range(n)]
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
@@ -123,12 +172,17 @@ class Model:
         whole = ids.get(text)
         if whole is not None and self.stands_alone(whole):
             return [whole]
-        longest, reach, at_prefix, shorter = self.automaton.longest_prefix, self.longest, self.at_prefix, self.shorter
+        shorter = self.shorter
+        # matches that end at one place of the reversed text come with the longest first
+        longest: list[tuple[int, int] | None] = [None] * n
+        for end, match in self.automaton.iter(text[::-1]):
+            if longest[n - 1 - end] is None:
+                longest[n - 1 - end] = match
         failed = bytearray((n >> 3) + 1)
         taken: list[int] = []
         lengths: list[int] = []
         at = 0
-        found = at_prefix[text[: longest(text[:reach])]]
+        found = longest[0]
         while True:
             while found:
                 i, k = found
@@ -144,7 +198,7 @@ class Model:
                     return taken
                 lengths.append(k)
                 at = end
-                found = at_prefix[text[at : at + longest(text[at : at + reach])]]
+                found = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not taken:

@@ -38,12 +38,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def check_settings(data: dict) -> None:
+    """An error unless the file is a plain byte-level BPE: what it says beside vocabulary and merges would change counts."""
+    model, pre = data["model"], data.get("pre_tokenizer") or {}
+    for wrong, what in (
+        (model.get("type", "BPE") != "BPE", "is no BPE"),
+        (any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")), "has options of its model set"),
+        (data.get("normalizer"), "normalizes texts"),
+        (pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True), "cuts texts in another way"),
+        (any(t.get(k) for t in data.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip")), "has added tokens with conditions"),
+    ):
+        if wrong:
+            raise ValueError(f"the vocabulary {what}")
+
+
 class Vocabulary:
     """Merges of a byte-level BPE file, its special strings, and the strings proven to be whole."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        check_settings(data)
         alphabet = byte_alphabet()
         ids = data["model"]["vocab"]
         self.byte_id = {alphabet[s]: i for s, i in ids.items() if len(s) == 1}
