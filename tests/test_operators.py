@@ -121,13 +121,14 @@ def test_near_duplicates_against_all_pairs(spark):
     assert N.near_duplicate_status(spark.createDataFrame([], "id long, t string"), frame(spark, train, "id long, t string"), "t")["status"] == "insufficient_rows"
 
 
-def test_near_components_against_all_pairs(spark):
-    rows = near_corpus()
+@pytest.mark.parametrize("most", [R.BLOCK_BYTES, 20_000])
+def test_near_components_against_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(R.each_block, "__defaults__", (most,))  # small: several blocks
+    rows = [*near_corpus(), (300, "a doctor for the fever"), (301, "a doctor for the fever " * 4)]  # lengths far apart
     norm = {i: " ".join((t or "").split()).lower() for i, t in rows}
     texts = sorted(set(norm.values()) - {""})
-    low, high = min(map(len, texts)), max(map(len, texts))
-    bucket = [min(4, max(0, math.ceil((len(t) - low) / ((high + 1 - low) / 5)) - 1)) for t in texts]
-    links = [(a, b) for a in range(len(texts)) for b in range(a) if abs(bucket[a] - bucket[b]) <= 1 and cosine(texts[a], texts[b]) >= 0.9]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if cosine(texts[a], texts[b]) >= 0.9]
+    assert any(max(len(texts[a]), len(texts[b])) > 2.5 * min(len(texts[a]), len(texts[b])) for a, b in links)
     label = local_labels(len(texts), np.array([a for a, _ in links]), np.array([b for _, b in links]))
     of = {t: int(label[k]) for k, t in enumerate(texts)} | {"": -1}
     least = {}

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textloom.functions import text as X
-from textloom.functions.constants import LEDGER_COLUMNS
+from textloom.functions.constants import FALLBACK_TEXT, LEDGER_COLUMNS
 from textloom.operators import duplicates as D
 from textloom.operators import metrics as M
 from textloom.operators import near_duplicates as N
@@ -54,7 +55,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = pairs(spark, sf_dir)
+    p = materialize(pairs(spark, sf_dir))  # read several times
     tenth = F.floor(F.col("id") / 1_000_000) % 10 == 0
     return p.where(tenth), p.where(~tenth)
 
@@ -306,7 +307,8 @@ def token_f1(spark, sf_dir):
 
 @query
 def rouge_l(spark, sf_dir):
-    return M.rouge_scores(_neighbours(spark, sf_dir))
+    s = M.rouge_scores(_neighbours(spark, sf_dir))
+    return s.select("query_id", *(F.round(c, 9).alias(c) for c in s.columns[1:]))
 
 
 @query
@@ -329,7 +331,8 @@ def retrieval_eval(spark, sf_dir):
     for method, name in (("exact", "Exact Match"), ("tfidf", "TF-IDF"), ("bm25", "BM25")):
         one = M.evaluate(materialize(_answered(spark, sf_dir, method)), name)
         out = one if out is None else out.unionByName(one)
-    return out
+    # means are rounded: their last digits depend on the order of addition
+    return out.select(*(F.round(f.name, 9).alias(f.name) if isinstance(f.dataType, DoubleType) else f.name for f in out.schema.fields))
 
 
 # --- training sets and ledger
@@ -349,7 +352,7 @@ def token_length_stats(spark, sf_dir):
 
 @query
 def tokenized_examples(spark, sf_dir):
-    t = T.tokenized(pairs(spark, sf_dir), "response", "id", most=64)
+    t = T.tokenized(T.formatted(pairs(spark, sf_dir), "prompt", "response", "id"), "text", "id")
     return t.select("id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
 
 
@@ -397,12 +400,32 @@ quo AS (SELECT label, n * target // a AS share, n * target % a AS rest, target F
 quota AS (SELECT label, share + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= target - sum(share) OVER () THEN 1 ELSE 0 END AS quota FROM quo),
 sided AS (SELECT component, c.label, CASE WHEN row_number() OVER (PARTITION BY c.label ORDER BY md5(component::VARCHAR || '-42'), component) <= quota THEN 'validation' ELSE 'train' END AS side FROM ctab c JOIN quota USING (label)),
 assigned AS (SELECT id, component, s.label, side FROM lab JOIN sided s USING (component))"""
-GRAMS = f"""words AS (SELECT id, side, ' ' || unnest({WORDS.format('t')}) || ' ' AS p FROM texts),
+GRAM_VECTORS = f"""words AS (SELECT id, side, ' ' || unnest({WORDS.format('t')}) || ' ' AS p FROM texts),
 sizes AS (SELECT id, side, p, unnest(range(3, least(5, greatest(3, length(p))) + 1)) AS n FROM words),
 grams AS (SELECT id, side, n, p, unnest(range(1, greatest(1, length(p) - n + 1) + 1)) AS i FROM sizes),
 counts AS (SELECT id, side, substr(p, i, n) AS gram, count(*) AS c FROM grams GROUP BY ALL),
-vec AS (SELECT id, side, gram, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM counts),
+vec AS (SELECT id, side, gram, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM counts)"""
+GRAMS = GRAM_VECTORS + """,
 scored AS (SELECT l.id AS test_id, r.id AS train_id, round(sum(l.w * r.w), 6) AS score FROM vec l JOIN vec r USING (gram) WHERE l.side = 0 AND r.side = 1 GROUP BY ALL)"""
+#: Of a table p (id, a, b): the words of both, their multiset overlap, and the longest common subsequence by rows.
+OVERLAPS = f"""aw AS (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT id, {WORDS.format(NORM.format('a'))} AS l FROM p) x),
+bw AS (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS j FROM (SELECT id, {WORDS.format(NORM.format('b'))} AS l FROM p) x),
+steps(id, i, j, v) AS (
+    SELECT id, 0::BIGINT, j, 0::BIGINT FROM bw
+    UNION ALL
+    SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) FROM (
+        SELECT s.id, aw.i, s.j, CASE WHEN aw.w = bw.w THEN 1 + coalesce(lag(s.v) OVER (PARTITION BY s.id ORDER BY s.j), 0) ELSE s.v END AS c
+        FROM steps s JOIN aw ON aw.id = s.id AND aw.i = s.i + 1 JOIN bw ON bw.id = s.id AND bw.j = s.j
+    ) x
+),
+sizes AS (SELECT p.id, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(l, 0)::DOUBLE AS l, coalesce(o, 0)::DOUBLE AS o FROM p
+    LEFT JOIN (SELECT id, count(*) AS x FROM aw GROUP BY id) USING (id) LEFT JOIN (SELECT id, count(*) AS y FROM bw GROUP BY id) USING (id) LEFT JOIN (SELECT id, max(v) AS l FROM steps GROUP BY id) USING (id)
+    LEFT JOIN (SELECT id, sum(least(n, m)) AS o FROM (SELECT id, w, count(*) AS n FROM aw GROUP BY ALL) q JOIN (SELECT id, w, count(*) AS m FROM bw GROUP BY ALL) r USING (id, w) GROUP BY id) USING (id)),
+shares AS (SELECT id, CASE WHEN x + y = 0 THEN 1.0::DOUBLE WHEN x = 0 THEN 0 ELSE l / x END AS lp, CASE WHEN x + y = 0 THEN 1.0::DOUBLE WHEN y = 0 THEN 0 ELSE l / y END AS lr,
+    CASE WHEN x + y = 0 THEN 1.0::DOUBLE WHEN x = 0 THEN 0 ELSE o / x END AS tp, CASE WHEN x + y = 0 THEN 1.0::DOUBLE WHEN y = 0 THEN 0 ELSE o / y END AS tr FROM sizes),
+scored AS (SELECT id, lp, lr, CASE WHEN lp + lr = 0 THEN 0 ELSE 2 * lp * lr / (lp + lr) END AS lf, tp, tr, CASE WHEN tp + tr = 0 THEN 0 ELSE 2 * tp * tr / (tp + tr) END AS tf FROM shares)"""
+#: A pair in the chat template.
+FORMATTED = "'<|im_start|>system' || chr(10) || 'আপনি একজন অভিজ্ঞ বাংলাদেশি চিকিৎসক। রোগীর প্রশ্নের উত্তর বাংলায় সংক্ষিপ্ত ও স্পষ্টভাবে দিন।' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10)"
 BUCKET = "CASE WHEN low = high THEN 0 ELSE least(4, greatest(0, ceil((len - low) / ((high + 1 - low) / 5.0::DOUBLE)) - 1)) END::INTEGER"
 CENTRE = "CASE WHEN low = high THEN low::DOUBLE ELSE low + (bucket + 0.5::DOUBLE) * ((high + 1 - low) / 5.0::DOUBLE) END"
 GROUPS = "SELECT sha256({0}) AS prompt_sha256, count(*) AS n_rows, count(DISTINCT coalesce(source, '')) AS n_responses, array_to_string(list_sort(list(doc_id))[1:10], ',') AS row_ids FROM documents WHERE {0} <> '' GROUP BY {0} HAVING count(*) > 1"
@@ -445,6 +468,11 @@ ORACLE_SQL |= {
         texts AS (SELECT * FROM b QUALIFY side = 0 OR row_number() OVER (PARTITION BY side, bucket ORDER BY abs(len - {CENTRE}), id) <= 1000), {GRAMS}
         SELECT test_id, train_id, score FROM scored JOIN b l ON l.id = test_id JOIN b r ON r.id = train_id WHERE score >= 0.9 AND l.bucket = r.bucket
         QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY score DESC, train_id) = 1""",
+    "components_near": f"""WITH RECURSIVE texts AS (SELECT min(doc_id) AS id, 0 AS side, {T_NORM} AS t FROM documents GROUP BY {T_NORM}), {GRAM_VECTORS},
+        links AS (SELECT l.id AS a, r.id AS b FROM vec l JOIN vec r ON l.gram = r.gram AND l.id < r.id GROUP BY ALL HAVING round(sum(l.w * r.w), 6) >= 0.9),
+        linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached(id, node) AS (SELECT id, id FROM texts UNION SELECT r.id, linked.b FROM reached r JOIN linked ON linked.a = r.node)
+        SELECT doc_id AS id, component FROM documents JOIN texts ON t = {T_NORM} JOIN (SELECT id, min(node) AS component FROM reached GROUP BY id) x USING (id)""",
     "components_exact": f"WITH {COMPONENTS} SELECT id, component FROM comp",
     "length_tertiles": f"WITH {EDGES} SELECT doc_id AS id, length({T_NORM}) AS length, {LABEL} AS label FROM documents, edges",
     "split_assign": f"WITH {SPLIT} SELECT id, component, label, side FROM assigned",
@@ -470,6 +498,8 @@ ORACLE_SQL |= {
         c AS (SELECT id, w, sum(x) AS x, sum(y) AS y FROM w GROUP BY ALL), o AS (SELECT id, sum(least(x, y))::DOUBLE AS o, sum(x) AS x, sum(y) AS y FROM c GROUP BY id),
         s AS (SELECT p.id, CASE WHEN coalesce(x, 0) = 0 AND coalesce(y, 0) = 0 THEN 1.0 WHEN coalesce(x, 0) = 0 THEN 0.0 ELSE o / x END AS pr, CASE WHEN coalesce(x, 0) = 0 AND coalesce(y, 0) = 0 THEN 1.0 WHEN coalesce(y, 0) = 0 THEN 0.0 ELSE o / y END AS re FROM p LEFT JOIN o ON o.id = p.id)
         SELECT id AS query_id, round(pr::DOUBLE, 9) AS token_precision, round(re::DOUBLE, 9) AS token_recall, round(CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END::DOUBLE, 9) AS token_f1 FROM s""",
+    "rouge_l": f"""WITH RECURSIVE p AS (SELECT conv_id * 1000000 + turn AS id, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS a, text AS b FROM conversations WHERE role = 'assistant'), {OVERLAPS}
+        SELECT id AS query_id, round(lp, 9) AS rouge_l_precision, round(lr, 9) AS rouge_l_recall, round(lf, 9) AS rouge_l_f1 FROM scored""",
     "response_reuse": "WITH f AS (SELECT count(*) AS c FROM documents GROUP BY source), r AS (SELECT c, row_number() OVER (ORDER BY c DESC) AS i, count(*) OVER () AS k, sum(c) OVER () AS n FROM f) SELECT max(k) AS unique_responses_retrieved, sum(c) FILTER (WHERE i <= greatest(1, floor(0.1 * k))) / max(n)::DOUBLE AS top_10_response_reuse_rate FROM r",
     "answer_lengths": f"""WITH c AS (SELECT {T_NORM} AS t, arg_min(source, doc_id) AS found FROM documents WHERE doc_id % 10 <> 0 GROUP BY 1),
         p AS (SELECT coalesce(found, 'ধন্যবাদ। সঠিক পরামর্শের জন্য একজন বিশেষজ্ঞ ডাক্তারের সাথে কথা বলুন।') AS prediction, t IS NULL AS miss, source AS target FROM documents LEFT JOIN c ON t = {T_NORM} WHERE doc_id % 10 = 0),
@@ -477,12 +507,43 @@ ORACLE_SQL |= {
         l AS (SELECT avg(miss::INTEGER) AS fallback_rate, avg(length(prediction)) AS retrieved_length_mean_chars, quantile_cont(length(prediction), 0.5)::DOUBLE AS retrieved_length_median_chars, avg(length(target)) AS actual_length_mean_chars, quantile_cont(length(target), 0.5)::DOUBLE AS actual_length_median_chars FROM p)
         SELECT 'Exact Match' AS method_name, l.*, (SELECT max(k) FROM r) AS unique_responses_retrieved, (SELECT sum(c) FILTER (WHERE i <= greatest(1, floor(0.1 * k))) / max(n)::DOUBLE FROM r) AS top_10_response_reuse_rate,
         abs(retrieved_length_mean_chars - actual_length_mean_chars) / greatest(actual_length_mean_chars, 1.0) > 0.5 AS length_mismatch_flag FROM l""",
-    "chat_format": f"""WITH {PAIRS}, f AS (SELECT id, '<|im_start|>system' || chr(10) || 'আপনি একজন অভিজ্ঞ বাংলাদেশি চিকিৎসক। রোগীর প্রশ্নের উত্তর বাংলায় সংক্ষিপ্ত ও স্পষ্টভাবে দিন।' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10) AS t FROM pairs)
-        SELECT id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM f""",
+    "chat_format": f"WITH {PAIRS}, f AS (SELECT id, {FORMATTED} AS t FROM pairs) SELECT id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM f",
     "token_length_stats": f"""WITH {PAIRS}, n AS (SELECT len({WORDS.format(NORM.format('prompt'))}) + len({WORDS.format(NORM.format('response'))}) AS n FROM pairs)
         SELECT count(*) AS n_rows, avg(n) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, quantile_cont(n, 0.95)::DOUBLE AS p95_interpolated, max(n) AS max, list_sort(list(n))[floor(0.95::DOUBLE * count(*))::BIGINT + 1] AS p95, list_sort(list(n))[floor(0.95::DOUBLE * count(*))::BIGINT + 1] > 100 AS over_limit FROM n""",
-    "tokenized_examples": f"""WITH {PAIRS}, t AS (SELECT id, list_transform({WORDS.format(NORM.format('response'))}[1:64], lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 50000) AS ids FROM pairs), p AS (SELECT id, ids, (8 - len(ids) % 8) % 8 AS k FROM t)
+    "tokenized_examples": f"""WITH {PAIRS}, f AS (SELECT id, {FORMATTED} AS t FROM pairs), t AS (SELECT id, list_transform({WORDS.format(NORM.format('t'))}[1:512], lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 50000) AS ids FROM f), p AS (SELECT id, ids, (8 - len(ids) % 8) % 8 AS k FROM t)
         SELECT id, len(ids) AS n_tokens, array_to_string(list_concat(ids, list_transform(range(k), lambda i: 0)), ',') AS input_ids, array_to_string(list_concat(ids, list_transform(range(k), lambda i: -100)), ',') AS labels FROM p""",
     "latest_checkpoint_step": "SELECT 'models/run/checkpoint-100' AS path, 100::BIGINT AS step",
     "split_ledger": f"WITH {SPLIT} SELECT 'split_v1_seed42' AS experiment_id, 'train_rows=' || count(*) FILTER (WHERE side = 'train') || ';validation_rows=' || count(*) FILTER (WHERE side = 'validation') AS dataset_version, 'split_v1' AS split_version, 'split_creation' AS model_name, 'approved fixed split for all future experiments' AS decision_next_step, " + ", ".join(f"'' AS {c}" for c in LEDGER_COLUMNS if c not in ("experiment_id", "dataset_version", "split_version", "model_name", "decision_next_step")) + " FROM assigned",
 }
+
+_ANSWERED = f"""RECURSIVE {PAIRS}, answers AS (
+    SELECT 0 AS m, q.id AS query_id, coalesce(c.found, '{FALLBACK_TEXT}') AS prediction, c.t IS NULL AS miss FROM pairs q LEFT JOIN (SELECT {NORM.format('prompt')} AS t, arg_min(response, id) AS found FROM pairs WHERE (id // 1000000) % 10 <> 0 GROUP BY 1) c ON c.t = {NORM.format('q.prompt')} WHERE (q.id // 1000000) % 10 = 0
+    UNION ALL SELECT 1, query_id, response, FALSE FROM ({ORACLE_SQL['tfidf_top1']}) f JOIN pairs ON id = doc_id
+    UNION ALL SELECT 2, query_id, response, FALSE FROM ({ORACLE_SQL['bm25_top1']}) f JOIN pairs ON id = doc_id
+), p AS (SELECT query_id * 3 + m AS id, m, answers.prediction AS a, pairs.response AS b, miss FROM answers JOIN pairs ON pairs.id = query_id), {OVERLAPS},
+f AS (SELECT m, count(*) AS c FROM p GROUP BY m, a), r AS (SELECT m, c, row_number() OVER (PARTITION BY m ORDER BY c DESC) AS i, count(*) OVER (PARTITION BY m) AS k, sum(c) OVER (PARTITION BY m) AS n FROM f),
+reuse AS (SELECT m, max(k) AS k, sum(c) FILTER (WHERE i <= greatest(1, floor(0.1 * k))) / max(n)::DOUBLE AS share FROM r GROUP BY m),
+record AS (SELECT m, avg(tf) AS tf, avg(tp) AS tp, avg(tr) AS tr, avg(lf) AS lf, avg(lp) AS lp, avg(lr) AS lr, avg(miss::INTEGER) AS miss, avg(length(a)) AS am, quantile_cont(length(a), 0.5)::DOUBLE AS ad, avg(length(b)) AS bm, quantile_cont(length(b), 0.5)::DOUBLE AS bd
+    FROM p JOIN scored USING (id) GROUP BY m),
+records AS (SELECT ['Exact Match', 'TF-IDF', 'BM25'][m + 1] AS method_name, round(tf, 9) AS token_f1, round(tp, 9) AS token_precision, round(tr, 9) AS token_recall, round(lf, 9) AS rouge_l_f1, round(lp, 9) AS rouge_l_precision, round(lr, 9) AS rouge_l_recall,
+    round(lf, 9) AS bert_score_f1, TRUE AS bert_score_is_proxy, NULL::DOUBLE AS total_time_seconds, NULL::DOUBLE AS ms_per_query, round(miss, 9) AS fallback_rate, k AS unique_responses_retrieved, round(share, 9) AS top_10_response_reuse_rate,
+    round(am, 9) AS retrieved_length_mean_chars, ad AS retrieved_length_median_chars, round(bm, 9) AS actual_length_mean_chars, bd AS actual_length_median_chars, abs(am - bm) / greatest(bm, 1.0) > 0.5 AS length_mismatch_flag FROM record JOIN reuse USING (m))"""
+_LEDGER = {
+    "experiment_id": "'baseline_' || translate(lower(method_name), ' -', '__')",
+    "dataset_version": "'split_version=split_v1'",
+    "split_version": "'split_v1'",
+    "model_name": "'retrieval_baseline_' || translate(lower(method_name), ' ', '_')",
+    "model_revision": "'v1'",
+    "exact_total_parameters": "'0'",
+    "trainable_parameters": "'0'",
+    "tokenizer": "'bengali_whitespace'",
+    "training_config": "'retrieval_baseline_non_trainable'",
+    "generation_settings": "'top1_nearest_neighbor'",
+    "validation_metrics": "printf('token_f1=%.4f;rouge_l_f1=%.4f;bert_score_f1=%.4f;ms_per_query=%.2f;fallback_rate=%.4f', token_f1, rouge_l_f1, bert_score_f1, coalesce(ms_per_query, 0.0::DOUBLE), fallback_rate)",
+    "manual_safety_findings": "'retrieval_from_train_corpus'",
+    "decision_next_step": "'baseline score logged for model comparison'",
+}
+ORACLE_SQL |= {
+    "retrieval_eval": f"WITH {_ANSWERED} SELECT * FROM records",
+    "retrieval_ledger": f"WITH {_ANSWERED} SELECT " + ", ".join(_LEDGER.get(c, "''") + f" AS {c}" for c in LEDGER_COLUMNS) + " FROM records",
+}
