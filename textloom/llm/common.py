@@ -32,6 +32,22 @@ def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+#: Bits of a filter of keys.
+FILTER_BITS = 23
+
+
+def with_maybe(rows: DataFrame, key: str, keys: DataFrame, key_of: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false where the long ``key`` (an expression) is surely not among ``key_of`` of
+    ``keys``. A filter of one hash and 2**FILTER_BITS bits says so; as 64-bit words it is a table of bounded size, so it is
+    broadcast whatever the number of keys."""
+    place = lambda c: f"pmod(xxhash64({c}), {1 << FILTER_BITS}L)"
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({place(c)} & 63 AS int))")
+    word = lambda c: F.expr(f"shiftright({place(c)}, 6)")
+    words = keys.groupBy(word(key_of).alias("f_word")).agg(F.bit_or(bit(key_of)).alias("f_bits"))
+    both = rows.withColumn("r_word", word(key)).join(F.broadcast(words), F.col("r_word") == F.col("f_word"), "left")
+    return both.withColumn(name, F.coalesce(F.col("f_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("r_word", "f_word", "f_bits")
+
+
 def hex_of(unsigned: Column) -> Column:
     return F.lower(F.lpad(F.hex(unsigned), 16, "0"))
 

@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, chunks, doc_rows
+from textloom.llm.common import arrow_map, chunks, doc_rows, with_maybe
 from textloom.llm.vector import SPACE, U, Words, joined, mix, sums
 from textloom.plans.storage import materialize
 
 GRAM, BITS = 4, 16
 #: Counts travel in slices of so many buckets, so that no task gathers all of them from all others.
 SLICE = 1 << 10
-#: Bytes of a text whose n-grams are counted together, and bits of the filter of trusted ids.
-PIECE, FILTER_BITS = 1 << 20, 23
+#: Bytes of a text whose n-grams are counted together.
+PIECE = 1 << 20
 #: A text is kept from this mean log-ratio on. Clean prose scores around the log of the inverse clean share, slightly above
 #: zero; text in a style that the target lacks scores below -1.
 THRESHOLD = -0.5
@@ -89,17 +89,6 @@ def gram_counts(rows: DataFrame) -> np.ndarray:
     return total
 
 
-def maybe_trusted(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be among ``t_id``, by a filter of one hash and 2**FILTER_BITS bits: as 64-bit words it is a
-    table of bounded size, so it is broadcast whatever the number of ids."""
-    place = lambda c: f"pmod(xxhash64({c}), {1 << FILTER_BITS}L)"
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({place(c)} & 63 AS int))")
-    word = lambda c: F.expr(f"shiftright({place(c)}, 6)")
-    words = ids.groupBy(word("t_id").alias("word")).agg(F.bit_or(bit("t_id")).alias("bits"))
-    marked = rows.join(F.broadcast(words), word("doc_id") == F.col("word"))
-    return marked.where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
-
-
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Smoothed by one count a bucket. Without any target text nothing is known, and all ratios are zero."""
     if not target.any():
@@ -176,9 +165,10 @@ def ratios_of(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) ->
     """Raw counts by a scan; the target's counts over the texts that may be trusted, the only ones that are shuffled."""
     rows = doc_rows(df, id_col, text_col)
     ids = materialize(trusted.select(trusted[trusted.columns[0]].cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct())
-    marked = maybe_trusted(rows, ids)
-    # always a sort-merge join: whether the ids would fit a broadcast changes with the corpus
-    target = marked.hint("merge").join(ids, marked.doc_id == ids.t_id, "left_semi")
+    maybe = with_maybe(rows, "doc_id", ids, "t_id", "maybe").where("maybe")
+    # always a sort-merge join: whether the ids would fit a broadcast changes with the corpus; an inner one, as a semi-join
+    # would be moved below the filter
+    target = maybe.hint("merge").join(ids, F.col("doc_id") == F.col("t_id"))
     return log_ratios(gram_counts(rows), gram_counts(target))
 
 
