@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import with_maybe
 from textloom.plans.storage import materialize
 
 WINDOW = 3
@@ -34,7 +35,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     of hash. A text whose lines all go becomes empty.
 
     Shuffles: window hashes twice (counted with partial aggregation, so a window that a third of the corpus repeats is
-    one row a task; then joined), and the documents once, to meet the line numbers they lose. Both aggregates are written
+    one row a task; then joined), and the documents that may lose lines, by a filter of fixed size, to meet those. Both aggregates are written
     before they are joined back: the joins then stand right above their shuffles, with one row a key on the other side,
     and adaptive execution splits a key that very many rows share. A document's removed lines are gathered as a set.
     """
@@ -44,10 +45,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     place = F.struct("k_id", "k_hash", F.get("at", F.lit(0)).alias("i"))
     firsts = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     firsts = materialize(firsts)
-    later = w.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
+    later = w.join(firsts.hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
     lines = later.select("k_id", "k_hash", F.explode("at").alias("i"))
     gone = materialize(lines.groupBy("k_id", "k_hash").agg(F.collect_set("i").alias("gone")).withColumnsRenamed({"k_id": "g_id", "k_hash": "g_hash"}))
-    both = rows.join(gone, rows.k_id.eqNullSafe(gone.g_id) & (rows.k_hash == gone.g_hash), "left")
+    marked = with_maybe(rows, "xxhash64(k_id, k_hash)", gone, "xxhash64(g_id, g_hash)", "maybe")
+    maybe = marked.where("maybe")
+    lose = maybe.join(gone.hint("merge"), maybe.k_id.eqNullSafe(gone.g_id) & (maybe.k_hash == gone.g_hash), "left")
+    both = lose.select("row", "t", "gone").unionByName(marked.where("NOT maybe").select("row", "t", F.lit(None).cast("array<int>").alias("gone")))
     # by kept numbers, in linear time, however many lines a text has; the lines are bound to a name as above
     kept = F.expr("if(gone IS NULL, t, element_at(transform(array(split(t, '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\\n')), 1))")
     stats = F.struct(F.size(F.split("t", "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
