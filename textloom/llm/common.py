@@ -15,6 +15,21 @@ from textloom.plans.storage import ship
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
+#: What the operators' modules remember in a Python worker, by module: how to let go of it.
+_RELEASE: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, release: Callable[[], None]) -> None:
+    """Says that a module keeps tables in the worker's memory between tasks; they go when another one's function starts."""
+    _RELEASE[module] = release
+
+
+def _take_turn(module: str) -> None:
+    for other, release in _RELEASE.items():
+        if other != module:
+            release()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with bounded batches, the package being with the executors. The bounds are settings of the session, read
     when the plan is run, so they stay set; a smaller bound that the caller has set is left as it is."""
@@ -24,7 +39,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     ship(spark)
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _take_turn(module)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

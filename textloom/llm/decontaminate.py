@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, chunks, doc_rows
+from textloom.llm.common import arrow_map, chunks, doc_rows, remembers
 from textloom.llm.vector import U, mix
 from textloom.plans.storage import materialize
 
@@ -259,6 +259,7 @@ def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
 # --- a benchmark that is broadcast
 
 _KEPT: dict[str, tuple[Index, Spellings]] = {}
+remembers(__name__, _KEPT.clear)
 
 
 def index_of(name: str, items: list[tuple[int | None, str]]) -> tuple[Index, Spellings]:

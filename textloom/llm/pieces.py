@@ -25,7 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import arrow_map, doc_rows
+from textloom.llm.common import arrow_map, doc_rows, remembers
 
 MARK = "▁"
 #: Bounds of the remembered words and pairs of a Python worker; each starts anew when full.
@@ -347,6 +347,14 @@ def digests_for(path: str) -> Digests:
     return Digests(model_for(path))
 
 
+def forget() -> None:
+    digests_for.cache_clear()
+    model_for.cache_clear()
+
+
+remembers(__name__, forget)
+
+
 def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id`` and ``ids`` (array of int), as the model's library encodes the text, without
     begin or end ids. Null and empty texts have no ids; null ids stay null; repeated rows give repeated rows; an empty

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, doc_rows
+from textloom.llm.common import arrow_map, doc_rows, remembers
 
 #: The pre-token pattern of byte-level BPE (a fixed value: counts depend on it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,6 +151,9 @@ def counts_for(path: str) -> Counts:
     return Counts(Vocabulary(path))
 
 
+remembers(__name__, counts_for.cache_clear)
+
+
 def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_tokens, over_limit``; no shuffle.
 
