@@ -93,6 +93,67 @@ def test_jobs(spark, corpus):
     assert said["examples"] == spark.read.parquet(f"{c}/split").where("side = 'train'").count()
 
 
+class Toy(readers.ModelBackend):
+    """A model of word counts: vectors of the words' lengths, answers that repeat the prompt's last word."""
+
+    def encode(self, texts):
+        return [[1.0] + [float(sum(len(w) % 7 == k for w in t.split())) for k in range(7)] for t in texts]
+
+    def generate(self, prompts):
+        return [f"{len(p)} characters" for p in prompts]
+
+    def tokenize(self, texts):
+        return [[len(w) for w in t.split()] for t in texts]
+
+    def parameters(self):
+        return [(3_000_000, False), (1_000_000, True)]
+
+
+def test_jobs_with_a_model(spark, corpus):
+    c, model = str(corpus), f"{__name__}:Toy"
+    main(["split", "--train", f"{c}/train.csv", "--out", f"{c}/split", "--document", f"{c}/split.json", "--write"], spark)
+    doc = json.loads((corpus / "split.json").read_text())
+    assert doc["dataset_version"] == {"train_csv_sha256": hashlib.sha256((corpus / "train.csv").read_bytes()).hexdigest(), "train_row_count": 200}
+    assert sorted(doc["train_row_ids"] + doc["validation_row_ids"]) == list(range(200)) and doc["split_ratio"]["train"] == len(doc["train_row_ids"]) / 200
+    assert sum(doc["stratification_summary"]["validation"][x] for x in ("short", "medium", "long")) == doc["row_counts"]["validation"]
+    assert doc["length_bucket_edges"]["short_medium"] < doc["length_bucket_edges"]["medium_long"] and doc["near_duplicate_detection"]["no_component_on_both_sides"]
+    said = main(["retrieve", "--train", f"{c}/train.csv", "--split", f"{c}/split.json", "--out", f"{c}/out", "--ledger", f"{c}/ledger", "--model", model], spark)
+    assert "Sentence Embedding" in said and readers.read_csv(spark, f"{c}/ledger").where("model_name LIKE '%sentence%'").count() == 1
+    (corpus / "ex/e1/checkpoint-50").mkdir(parents=True)
+    (corpus / "ex/e1/checkpoint-100").mkdir()
+    prepare = ["prepare", "--train", f"{c}/train.csv", "--split", f"{c}/split.json", "--out", f"{c}/ex", "--ledger", f"{c}/ledger2", "--mode", "full", "--experiment-id", "e1", "--resume", "--model", model, "--max-seq-len", "8"]
+    said = main(prepare, spark)
+    assert said["resume_from"].endswith("checkpoint-100") and (corpus / "ex/e1/checkpoint-50").exists()
+    assert said["examples"] == doc["row_counts"]["train"] and said["evaluation_examples"] == doc["row_counts"]["validation"]
+    assert said["fertility"]["total"]["n_rows"] == 100 and "is over" in said["warning"]
+    samples = json.loads((corpus / "ex/e1/smoke_samples.json").read_text())
+    assert len(samples) == 5 and all(set(s) == {"patient_prompt", "reference_response", "generated_response"} and s["generated_response"].endswith("characters") for s in samples)
+    rows = {r.experiment_id: r for r in readers.read_csv(spark, f"{c}/ledger2").collect()}
+    assert set(rows) == {"e1", "e1-COMPLETE"} and rows["e1"].decision_next_step == "preparation started" and "finished in" in rows["e1-COMPLETE"].decision_next_step
+    assert rows["e1"].exact_total_parameters == "0.004B" and rows["e1"].trainable_parameters == "1.0M" and rows["e1"].dataset_version.startswith("train_rows=200;sha256=")
+    assert f"max_seq_len=8;batch=4x4;max_steps=-1;epochs=3;train_rows={doc['row_counts']['train']}" in rows["e1"].training_config
+    (corpus / "ex/e1/smoke_samples.json").unlink()
+    said = main([*prepare, "--skip-samples", "--experiment-id", "e2"], spark)
+    assert said["resume_from"] is None and not (corpus / "ex/e2/smoke_samples.json").exists()
+
+
+def test_audit_records_roles_and_sources(spark, corpus):
+    c = str(corpus)
+    (corpus / "config.yaml").write_text("id_column: id\nother: kept\n")
+    main(["audit", "--train", f"{c}/train.csv", "--test", f"{c}/test.csv", "--out", f"{c}/out", "--config", f"{c}/config.yaml", "--sample-submission", f"{c}/none.csv"], spark)
+    report, text = json.loads((corpus / "out/data_audit.json").read_text()), (corpus / "out/data_audit.md").read_text()
+    assert report["config_update"] == readers.read_config(f"{c}/config.yaml") and report["config_update"]["prompt_column"] == "input" and report["config_update"]["other"] == "kept"
+    assert report["source_files"] == {"train_filename": "train.csv", "test_filename": "test.csv"}
+    assert report["notes"] == {"train_object_columns": ["input", "output"], "test_object_columns": ["input"], "sample_submission_present": False}
+    assert all(f"## {x}" in text for x in ("Source files", "Notes")) and "- assessment: " in text and "- purpose: " in text
+    assert (corpus / "out/data_audit_status.txt").read_text() == "finished\n"
+
+
+def test_model_names():
+    with pytest.raises(ValueError, match="module:factory"):
+        readers.NamedModel("os.system('x')")
+
+
 def test_report_renders(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "a", "c")], "id long, question string, answer string")
     assert "- train rows: `2`" in render_markdown(audit_report(df, df.limit(0), "id"))

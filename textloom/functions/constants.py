@@ -35,6 +35,9 @@ LEDGER_COLUMNS = [
     "kaggle_notebook_version", "decision_next_step",
 ]
 
+#: What a training of adapters is recorded with.
+ADAPTER = {"r": 16, "alpha": 32, "dropout": 0.05, "targets": ["q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"]}
+
 #: Training budgets by mode.
 MODES = {
     "smoke": {"train_frac": 0.05, "num_train_epochs": 1, "max_steps": 100, "save_steps": 50, "logging_steps": 10, "per_device_train_batch_size": 4, "gradient_accumulation_steps": 4},

@@ -12,8 +12,9 @@ from pyspark.sql.window import Window as W
 
 from textloom.functions import text as X
 from textloom.functions.constants import MAX_SEQUENCE, MODES, PARAMETER_CAP, SEED
-from textloom.operators.split import first_rows, random_subset
-from textloom.plans.storage import ship
+from textloom.operators.profile import length_report
+from textloom.operators.split import first_rows, fixed_sample, random_subset
+from textloom.plans.storage import materialize, ship
 
 IGNORED = -100
 
@@ -64,6 +65,44 @@ def evaluation_rows(df: DataFrame, key: str, most: int = 500) -> DataFrame:
     return first_rows(df, key, most)
 
 
+def generated(df: DataFrame, prompt: str, response: str, key: str, generate: Callable[[list[str]], list[str]], template: Callable[[Column, bool], Column] = X.chat_text) -> DataFrame:
+    """``patient_prompt, reference_response, generated_response``: what a model answers to the formatted prompts, on Arrow
+    batches, in the order of the key as text."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            answers = pa.array(generate(b.column(3).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), answers], ["k", "patient_prompt", "reference_response", "generated_response"])
+
+    rows = df.select(F.col(key).cast("string").alias("k"), X.filled(prompt).alias("p"), X.filled(response).alias("r"), template(X.chat_messages(prompt), True).alias("t"))
+    out = rows.mapInArrow(run, "k string, patient_prompt string, reference_response string, generated_response string")
+    return out.orderBy("k").drop("k")
+
+
+def fertility(df: DataFrame, prompt: str, response: str, key: str, n: int = 100, limit: int = MAX_SEQUENCE, encode: Callable[[list[str]], list[list[int]]] | None = None) -> DataFrame:
+    """``part, n_rows, mean, median, p95_interpolated, max, p95, over_limit`` of the token counts of prompts, responses
+    and both, on a seeded sample of n rows. ``encode`` is a model's tokenizer; without one words are counted."""
+    sample = fixed_sample(df, key, n).select(F.col(key).cast("string").alias("k"), X.filled(prompt).alias("p"), X.filled(response).alias("r"))
+    if encode is None:
+        counts = sample.select(X.n_words("p").alias("prompt"), X.n_words("r").alias("response"))
+    else:
+        ship(df.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes = [pa.array([len(x) for x in encode(b.column(c).to_pylist())], pa.int64()) for c in (1, 2)]
+                yield pa.RecordBatch.from_arrays(sizes, ["prompt", "response"])
+
+        counts = sample.mapInArrow(run, "prompt long, response long")
+    counts = materialize(counts.withColumn("total", F.col("prompt") + F.col("response")))  # read by three reports
+    out = None
+    for part in ("prompt", "response", "total"):
+        report = length_report(counts, part, limit).select(F.lit(part).alias("part"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
 def check_parameters(total: int, cap: int = PARAMETER_CAP) -> int:
     if total > cap:
         raise ValueError(f"{total} parameters are more than {cap}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 from pathlib import Path
@@ -31,7 +32,9 @@ def read_pairs(spark: SparkSession, path: str, key_type: str = "long", response:
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """A split document as ``side, id``, each id once a side."""
+    """A split document, or a split written as Parquet, as ``side, id``, each id once a side."""
+    if not path.endswith(".json"):
+        return spark.read.parquet(path).select("side", "id").distinct()
     doc = spark.read.option("multiLine", True).json(path)
     side = lambda name: doc.select(F.lit(name).alias("side"), F.explode(f"{name}_row_ids").alias("id"))
     return side("train").unionByName(side("validation")).distinct()
@@ -127,8 +130,8 @@ def read_json_document(path: str) -> Any:
 
 
 class ModelBackend:
-    """What a model loaded from elsewhere must offer; implementations load it once per Python worker. Nothing here loads
-    models: there is no network, and weights are not part of the engine."""
+    """What a model loaded from elsewhere must offer. Nothing here loads weights: there is no network, and they are not
+    part of the engine."""
 
     def encode(self, texts: list[str]) -> list[list[float]]:
         raise NotImplementedError
@@ -138,3 +141,37 @@ class ModelBackend:
 
     def tokenize(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
+
+    def parameters(self) -> list[tuple[int, bool]]:
+        """Size of each part, and whether it is trained; empty if unknown."""
+        return []
+
+
+class NamedModel(ModelBackend):
+    """A model named ``module:factory``, made on first use in each Python worker and kept there; what is sent to the
+    executors is its name only. The module must be importable on them."""
+
+    _made: dict[str, ModelBackend] = {}
+
+    def __init__(self, name: str):
+        if not re.fullmatch(r"[\w.]+:\w+", name):
+            raise ValueError(f"not module:factory: {name}")
+        self.name = name
+
+    def _model(self) -> ModelBackend:
+        if self.name not in self._made:
+            module, factory = self.name.split(":")
+            self._made[self.name] = getattr(importlib.import_module(module), factory)()
+        return self._made[self.name]
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return self._model().encode(texts)
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return self._model().generate(prompts)
+
+    def tokenize(self, texts: list[str]) -> list[list[int]]:
+        return self._model().tokenize(texts)
+
+    def parameters(self) -> list[tuple[int, bool]]:
+        return self._model().parameters()

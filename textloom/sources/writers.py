@@ -6,11 +6,12 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.functions.constants import LEDGER_COLUMNS, SEED
+from textloom.functions.constants import ADAPTER, LEDGER_COLUMNS, MAX_SEQUENCE, MODES, SEED
+from textloom.operators.split import LABELS, leakage_check, split_summary
 from textloom.sources.readers import ledger_columns, path_exists, path_size, read_config
 
 
@@ -52,6 +53,20 @@ def write_split(assigned: DataFrame, path: str) -> None:
     assigned.write.mode("overwrite").partitionBy("side").parquet(path)
 
 
+def split_metadata(assigned: DataFrame, edges: dict[str, float], dataset: dict[str, Any]) -> dict[str, Any]:
+    """What a split document says beside the ids: its data, ratios, length edges and labels of both sides."""
+    sides = {r["side"]: r.asDict() for r in split_summary(assigned).collect()}
+    of = lambda side, c: sides[side][c] if side in sides else 0
+    both = ("train", "validation")
+    return {
+        "dataset_version": dataset,
+        "split_ratio": {s: of(s, "ratio") for s in both},
+        "length_bucket_edges": {c: edges[c] for c in ("short_medium", "medium_long")},
+        "stratification_summary": {"medical_category": None} | {s: {x: of(s, x) for x in LABELS} for s in both},
+        "near_duplicate_detection": {"method": "equal_normalized_prompts", "no_component_on_both_sides": leakage_check(assigned).first()["no_leakage"]},
+    }
+
+
 def split_document(assigned: DataFrame, metadata: dict[str, Any]) -> dict[str, Any]:
     """The assignment as one document, for splits small enough to be one."""
     side = lambda s: [r[0] for r in assigned.where(F.col("side") == s).select("id").orderBy("id").collect()]
@@ -83,6 +98,24 @@ def ledger_rows(results: DataFrame, split_version: str) -> DataFrame:
     )
 
 
+def training_ledger_row(spark: SparkSession, experiment: str, mode: str, n_rows: int, dataset: str, most: int = MAX_SEQUENCE, parameters: dict[str, Any] | None = None, minutes: float | None = None, job: str = "training", **facts: str) -> DataFrame:
+    """The ledger row of a job that starts or, given its ``minutes``, is complete. ``facts`` are further columns (model,
+    tokenizer, split); sizes are blank without a model's ``parameters``."""
+    c, a = MODES[mode], ADAPTER
+    config = (
+        f"mode={mode};r={a['r']};alpha={a['alpha']};dropout={a['dropout']};targets={'|'.join(a['targets'])};max_seq_len={most};"
+        f"batch={c['per_device_train_batch_size']}x{c['gradient_accumulation_steps']};max_steps={c['max_steps']};epochs={c['num_train_epochs']};train_rows={n_rows}"
+    )
+    row = {
+        "experiment_id": experiment if minutes is None else f"{experiment}-COMPLETE", "dataset_version": dataset, "split_version": "split_v1", "training_config": config,
+        "decision_next_step": f"{job} started" if minutes is None else f"{job} finished in {minutes:.1f}min; review samples before next step",
+    }
+    if parameters:
+        row |= {"exact_total_parameters": f"{parameters['total'] / 1e9:.3f}B", "trainable_parameters": f"{parameters['trainable'] / 1e6:.1f}M"}
+    row |= facts
+    return ledger_schema_rows(spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row)))
+
+
 def append_ledger(rows: DataFrame, path: str, strict: bool = False) -> None:
     """Append to a ledger folder of CSV files, each with the header. Unknown columns are an error if asked, else left out;
     a new ledger, or one of a few bytes, starts with the fixed columns."""
