@@ -324,3 +324,20 @@ def test_checkpoints(spark):
     df = frame(spark, [("x/checkpoint-50",), ("x/checkpoint-100/",), ("x/final",)], "path string")
     assert tuple(latest_checkpoint(df).first()) == ("x/checkpoint-100/", 100)
     assert latest_checkpoint(df.where("path = 'x/final'")).count() == 0
+
+
+def test_prompt_groups_with_null_and_repeated_ids(spark):
+    rows = [(None, "A  b", "x"), (None, "a b", "y"), (1, "c", None), (1, "c", ""), (2, "c", "z"), (3, "", "x"), (4, None, "x"), (5, "only", "x"), (None, "d", "x"), (None, "d", "x")]
+    df = spark.createDataFrame(rows, "id long, p string, r string")
+    got = {r.prompt: (r.n_rows, r.n_responses, r.row_ids) for r in D.prompt_groups(df, "p", "r", "id", normalize=True).collect()}
+    texts = dict(got)
+    assert texts.pop("c") == (3, 2, [1, 1, 2]) and texts.pop("d") == (2, 1, [])
+    (prompt, group), = texts.items()
+    assert prompt == "a b" and group == (2, 2, [])
+    plain = {r.prompt: r.n_rows for r in D.prompt_groups(df, "p", "r", "id").collect()}
+    assert plain == {"c": 3, "d": 2}
+    assert D.prompt_groups(df.limit(0), "p", "r", "id").count() == 0
+    parts = {}
+    for r in D.exact_components(df.where("id IS NOT NULL"), "p", "id").collect():
+        parts.setdefault(r.component, set()).add(r.id)
+    assert parts == {1: {1, 2}, 3: {3, 4}, 5: {5}}

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from textloom.functions import text as X
 from textloom.functions.constants import SEED, VALIDATION_RATIO
+from textloom.operators.duplicates import least_keys
 from textloom.plans.storage import materialize
 from textloom.sources.readers import with_position
 
@@ -69,8 +70,7 @@ def split_assign(df: DataFrame, prompt: str, key: str, ratio: float = VALIDATION
     each length stratum gives its quota of components to validation."""
     facts = prompt_facts(df, prompt, key)
     if components is None:
-        least = facts.groupBy("digest").agg(F.min("id").alias("component"))
-        components = facts.join(least, "digest").select("id", "component")
+        components = least_keys(facts, "digest")
     table = materialize(component_table(tertiles(facts), components))
     ordered = with_position(table.select("component", "label", shuffle_key("component", seed).alias("h")), "label", "h", "component")
     first = ordered.groupBy("label").agg(F.min("position").alias("first"))
