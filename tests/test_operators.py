@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -244,6 +245,38 @@ def test_bm25_and_tfidf_against_plain(spark):
                 assert (got[i].doc_id, got[i].matched, got[i].prediction) == (100, False, "r100")
 
 
+def test_sparse_scores_of_pairs_are_never_written(spark, monkeypatch):
+    written, real = [], R.materialize
+
+    def counted(df, path=None):
+        out = real(df, path)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "materialize", counted)
+    corpus = frame(spark, [(i, f"a b c{i % 7} d{i % 5}", "r") for i in range(400)], "id long, p string, r string")
+    queries = frame(spark, [(i, f"a b c{i % 7}") for i in range(100)], "id long, p string")
+    for op in (R.tfidf_top1, R.bm25_top1):
+        got = {x.query_id: x.doc_id for x in op(queries, corpus, "p", "r", "id").collect()}
+        assert got.keys() == set(range(100)) and all(got[i] % 7 == i % 7 for i in got)
+    assert max(written) <= 1600  # the postings; the pairs are 40,000
+
+
+def test_sparse_blocks_in_small_pieces(monkeypatch):
+    g = np.random.default_rng(4)
+    rows = lambda n, at: [(at + i, [f"t{k}" for k in g.choice(20, g.integers(0, 6), replace=False)]) for i in range(n)]
+    table = lambda rs: pa.table({"id": [i for i, _ in rs], "terms": pa.array([t for _, t in rs], pa.list_(pa.string())), "weights": pa.array([[1.0] * len(t) for _, t in rs], pa.list_(pa.float64()))})
+    asked, known = rows(30, 0), rows(200, 1000)[::-1]
+    want = {}
+    for q, t in asked:
+        s, d = max((len({*t} & {*u}), -d) for d, u in known)
+        want |= {q: (-d, s)} if s else {}
+    for cells in (1, 50, 1000, 1 << 21):
+        monkeypatch.setattr(R, "CELLS", cells)
+        got = pa.Table.from_batches(R._nearest_sparse(table(asked), iter(table(known).to_batches()))).to_pylist()
+        assert {r["query_id"]: (r["doc_id"], r["score"]) for r in got} == want
+
+
 def test_dense(spark):
     g = np.random.default_rng(1)
     x, q = g.normal(size=(300, 8)), g.normal(size=(20, 8))
