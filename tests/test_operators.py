@@ -262,6 +262,19 @@ def test_sparse_scores_of_pairs_are_never_written(spark, monkeypatch):
     assert max(written) <= 1600  # the postings; the pairs are 40,000
 
 
+def test_retrieval_eval_keeps_the_answers_only(spark, tmp_path, monkeypatch):
+    from textloom import queries as Q
+    from textloom.plans import storage
+
+    rows = [(c, t, ("user", "assistant")[t % 2], f"a b c{c % 3} t{t}") for c in range(40) for t in range(4)]
+    frame(spark, rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs_written, real, had = [], Q.pairs, len(storage._WRITTEN)
+    monkeypatch.setattr(Q, "pairs", lambda *a: pairs_written.append(1) or real(*a))
+    got = Q.QUERIES["retrieval_eval"](spark, str(tmp_path))
+    assert len(pairs_written) == 1 and len(storage._WRITTEN) - had == 3
+    assert got.count() == 3
+
+
 def test_sparse_blocks_in_small_pieces(monkeypatch):
     g = np.random.default_rng(4)
     rows = lambda n, at: [(at + i, [f"t{k}" for k in g.choice(20, g.integers(0, 6), replace=False)]) for i in range(n)]
