@@ -122,6 +122,45 @@ def test_near_duplicates_against_all_pairs(spark):
     assert N.near_duplicate_status(spark.createDataFrame([], "id long, t string"), frame(spark, train, "id long, t string"), "t")["status"] == "insufficient_rows"
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_duplicates_deal_the_smaller_side(spark, monkeypatch, turned):
+    rows = near_corpus()
+    norm = {i: " ".join((t or "").split()).lower() for i, t in rows}
+    small, large = [x for x in rows if x[0] % 3 == 0], [x for x in rows if x[0] % 3]
+    test, train = (large, small) if turned else (small, large)
+    dealt, real = [], N.each_block
+    monkeypatch.setattr(N, "each_block", lambda rows, size, corpus, *a, **k: dealt.append((rows.count(), corpus.count())) or real(rows, size, corpus, *a, **k))
+    got = {x.test_id: (x.train_id, x.score) for x in N.near_duplicates(frame(spark, test, "id long, t string"), frame(spark, train, "id long, t string"), "t", "id", reference_mode=True, most=10_000).collect()}
+    assert len(dealt) == 1 and dealt[0][0] <= dealt[0][1]
+    low, high = min(len(t) for _, t in rows if t), max(len(t) for _, t in rows if t)
+    raw = {i: t or "" for i, t in rows}
+    bucket = lambda i: min(4, max(0, math.ceil((len(raw[i]) - low) / ((high + 1 - low) / 5)) - 1))
+    first = lambda part: {t: i for i, t in sorted(((i, t) for i, t in part if norm[i]), reverse=True)}.values()
+    want = {}
+    for i in first(test):
+        best = max(((cosine(norm[i], norm[j]), -j) for j in first(train) if bucket(i) == bucket(j)), default=(0, 0))
+        if best[0] >= 0.9:
+            want[i] = (-best[1], best[0])
+    assert got == want and len(want) > 10
+
+
+def test_connected_texts_are_not_compared_again(monkeypatch):
+    r = random.Random(8)
+    base = [f"word{k}" for k in range(300)]
+    texts = [" ".join(w if r.random() > 0.01 else "other" for w in base) for _ in range(120)] + [f"lone{k} text{k}" for k in range(20)]
+    rows = [(i, *N.gram_counts(t)) for i, t in enumerate(texts)]
+    table = pa.table({"id": [i for i, _, _ in rows], "terms": pa.array([h for _, h, _ in rows], pa.list_(pa.int64())), "weights": pa.array([c / np.sqrt((c * c).sum()) for _, _, c in rows], pa.list_(pa.float64())), "bucket": pa.array([0] * len(rows), pa.int32())})
+    calls, real, edges = [], N.Block.score, []
+    monkeypatch.setattr(N.Block, "score", lambda self, p: calls.append(p) or real(self, p))
+    monkeypatch.setattr(N, "_size", lambda: None)
+    monkeypatch.setattr(N, "each_block", lambda rows, size, corpus, link, *a, **k: edges.extend(link(table, iter(table.to_batches(max_chunksize=10)))) or True)
+    N.similar_forest(None, 0.9)
+    found = [(e["l"], e["r"]) for b in edges for e in b.to_pylist()]
+    label = local_labels(len(rows), np.array([l for l, _ in found]), np.array([q for _, q in found]))
+    assert (label[:120] == label[0]).all() and len(set(label.tolist())) == 21
+    assert len(calls) < 2500  # the pairs are 14,400
+
+
 @pytest.mark.parametrize("most", [R.BLOCK_BYTES, 20_000])
 def test_near_components_against_all_pairs(spark, monkeypatch, most):
     monkeypatch.setattr(R.each_block, "__defaults__", (most,))  # small: several blocks
