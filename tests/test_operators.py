@@ -301,6 +301,50 @@ def test_sparse_scores_of_pairs_are_never_written(spark, monkeypatch):
     assert max(written) <= 1600  # the postings; the pairs are 40,000
 
 
+def stages(spark) -> list:
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    of = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    found = sc.statusStore().stageList(None, False, False, of, None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def shuffled(spark, run) -> int:
+    """Rows that are shuffled while run() runs."""
+    last = max([-1, *(x.stageId() for x in stages(spark))])
+    run()
+    return sum(x.shuffleWriteRecords() for x in stages(spark) if x.stageId() > last)
+
+
+def test_postings_are_never_shuffled(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(100)) + f" x{i}", f"a b {i}") for i in range(400)]  # 40,400 postings
+    corpus = frame(spark, rows, "id long, p string, r string").repartition(4)
+    queries = frame(spark, [(i, f"w1 x{i}") for i in range(20)], "id long, p string")
+    for op in (R.tfidf_top1, R.bm25_top1):
+        assert shuffled(spark, lambda op=op: op(queries, corpus, "p", "r", "id").collect()) < 10_000
+    texts = frame(spark, [(i, p, p, False) for i, p, _ in rows], "query_id long, prediction string, target string, is_fallback boolean")
+    assert shuffled(spark, lambda: M.evaluate(texts, "M", distinct=M.distinct_keys(texts, "query_id")).collect()) < 10_000
+
+
+def test_repeated_keys(spark):
+    corpus = frame(spark, [(10, "fever", "r"), (10, "cough cough", "r"), (11, "head", "r"), (12, None, "r"), (13, " ", "r")], "id long, p string, r string")
+    assert {r.id: dict(zip(r.terms, r.counts, strict=True)) for r in R.term_counts(corpus, "p", "id").collect()} == {10: {"fever": 1, "cough": 2}, 11: {"head": 1}}
+    once = frame(spark, [(1, "a a b", "a a a c b"), (2, "", None), (3, "x", ""), (4, "a b c d", "d a c")], "query_id long, prediction string, target string")
+    assert M.distinct_keys(once, "query_id") and not M.distinct_keys(once.union(once), "query_id")
+    assert not M.distinct_keys(frame(spark, [(None,), (1,)], "query_id long"), "query_id")
+    both = M.token_scores(once).join(M.rouge_scores(once), "query_id").drop("query_id")
+    assert sorted(map(tuple, M.pair_scores(once).collect())) == sorted(map(tuple, both.collect()))
+
+
+def test_sparse_without_rows(spark):
+    corpus, none = frame(spark, CORPUS, "id long, p string, r string"), frame(spark, [], "id long, p string, r string")
+    blank = frame(spark, [(1, "", "r"), (2, None, "s")], "id long, p string, r string")
+    for op in (R.tfidf_top1, R.bm25_top1):
+        assert op(none, corpus, "p", "r", "id").count() == op(corpus, none, "p", "r", "id").count() == 0
+        assert {(r.query_id, r.doc_id, r.matched) for r in op(corpus, blank, "p", "r", "id").collect()} == {(i, 1, False) for i in (10, 11, 12, 13)}
+        assert {(r.query_id, r.doc_id, r.matched) for r in op(blank, corpus, "p", "r", "id").collect()} == {(1, 10, False), (2, 10, False)}
+
+
 def test_retrieval_eval_keeps_the_answers_only(spark, tmp_path, monkeypatch):
     from textloom import queries as Q
     from textloom.plans import storage

@@ -35,7 +35,7 @@ def benchmark(queries: DataFrame, corpus: DataFrame, prompt: str, response: str,
         fallback = F.col("is_fallback") if "is_fallback" in found.columns else F.lit(False)
         found = materialize(found.select("query_id", "prediction", fallback.alias("is_fallback")))
         seconds = time.monotonic() - began
-        record = M.evaluate(found.join(target, "query_id"), m, seconds)
+        record = M.evaluate(found.join(target, "query_id"), m, seconds, distinct=M.distinct_keys(found, "query_id"))
         out = record if out is None else out.unionByName(record)
     return out
 
