@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,6 +69,30 @@ def test_pieces_of_a_long_text(monkeypatch):
     assert strings() == whole and len(whole) == len(text) - 99
 
 
+def test_memory_of_a_long_text():
+    """A long text takes a worker no more memory than as many bytes of short ones."""
+    long = " ".join(random.Random(1).choices([f"word{i}" for i in range(5000)], k=600_000)).encode()
+    peaks = []
+    for texts in ([long[k : k + 5000] for k in range(0, len(long), 5000)], [long]):
+        for _ in range(2):  # the tables of powers are kept
+            tracemalloc.start()
+            for _ in S.stretches(texts):
+                pass
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        peaks.append(peak)
+    assert len(long) > 4 << 20 and peaks[1] < 1.5 * peaks[0]
+
+
+def test_texts_and_stretches_are_not_written(spark, monkeypatch):
+    """They are read once, if no anchor is too frequent for a bucket; each table less is as many files less."""
+    written = []
+    monkeypatch.setattr(S, "materialize", lambda df, keep=S.materialize: written.append(set(df.columns)) or keep(df))
+    docs = corpus(40)
+    assert run(spark, docs) == plain([(i, t.encode()) for i, t in docs])
+    assert written and {"id", "th", "n"} not in written and not any("stretch" in columns for columns in written)
+
+
 def test_equal_strings_have_equal_anchors():
     r = random.Random(2)
     shared = bytes(r.choices(b"abc ", k=400))

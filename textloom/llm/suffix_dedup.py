@@ -38,8 +38,9 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: bytes, at their greatest length); the strings of an anchor with more are dealt one by one.
 BUCKET = 1 << 20
 MOST_STRETCHES = 4 * BUCKET // (LENGTH + SPAN - 1)
-#: Longer texts are read in pieces that overlap by LENGTH - 1 bytes.
-PIECE = 4 << 20
+#: Longer texts are read in pieces that overlap by LENGTH - 1 bytes. As large as chunks() of short texts: a worker takes
+#: about a hundred times the bytes that are looked into at once.
+PIECE = 1 << 20
 PLACE_BITS = 24
 
 
@@ -314,7 +315,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = df.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
     same_text = ["th", "n"]
     # 1. of equal texts only the one of the least id is looked into; in the others every string is found earlier
-    texts = materialize(docs.groupBy(*same_text).agg(F.min("id").alias("id")))
+    texts = docs.groupBy(*same_text).agg(F.min("id").alias("id"))
 
     # 2. stretches of the anchors that are found in more than one place, and whether they differ
     # kept, as it is read twice: to count anchors, and to pick stretches
@@ -336,12 +337,15 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 4. the texts of stretches that share their anchor with others, once each; sorted in buckets
     wanted = firsts.where("differ").select("h", "first.*").groupBy("id", *same_text).agg(F.collect_list(F.struct("h", "b", "e")).alias("wanted"))
     read = docs.select("id", *same_text, "text").hint("merge").join(materialize(wanted), ["id", *same_text])
-    stretch = materialize(arrow_map(read.select("id", *same_text, "text", "wanted"), _emit_texts, "h long, id long, th long, n long, b long, stretch binary"))
+    stretch = arrow_map(read.select("id", *same_text, "text", "wanted"), _emit_texts, "h long, id long, th long, n long, b long, stretch binary")
 
     # 5. an anchor with too many different stretches for a bucket: its strings are dealt by their own hash
     hot = materialize(firsts.where("differ").groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_STRETCHES).select("h"))
-    cold, dealt_out = stretch, None
+    cold, dealt_out, written = stretch, None, [left, firsts]
     if not hot.isEmpty():
+        # written only here, where it is read twice
+        stretch = materialize(stretch)
+        written.append(stretch)
         cold = stretch.join(hot, "h", "left_anti")
         single = stretch.join(hot, "h", "left_semi").select("id", *same_text, "b", "stretch", F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - LENGTH)).alias("i"))
         string = F.expr(f"substring(stretch, i + 1, {LENGTH})")
@@ -358,7 +362,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = gone.unionByName(dealt_out)
     gone = gone.groupBy(*same_text).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     judged = materialize(texts.hint("merge").join(gone, same_text, "left").select(F.col("th").alias("t_th"), F.col("n").alias("t_n"), F.col("id").alias("first_id"), "spans"))
-    discard(left, firsts, stretch, texts)
+    discard(*written)
     out = docs.hint("merge").join(judged, (F.col("th") == F.col("t_th")) & (F.col("n") == F.col("t_n")))
     whole = F.when(F.col("n") >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))))
     spans = F.when(F.col("id") == F.col("first_id"), F.col("spans")).otherwise(whole)
