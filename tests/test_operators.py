@@ -470,3 +470,27 @@ def test_prompt_groups_with_null_and_repeated_ids(spark):
     for r in D.exact_components(df.where("id IS NOT NULL"), "p", "id").collect():
         parts.setdefault(r.component, set()).add(r.id)
     assert parts == {1: {1, 2}, 3: {3, 4}, 5: {5}}
+
+
+def test_vectors_are_packed_exactly(monkeypatch):
+    """Grams that the sample does not know, counts beyond 8 bits and steps beyond 254 keep their part in a score, and bounds
+    hold for all pairs, also by a basis of few texts."""
+    r = random.Random(3)
+    texts = ["a" * 400 + " b", "a" * 390 + " c", "zzz " * 700, *(" ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(r.randint(3, 120))) for _ in range(60))]
+    texts += [t + " more" for t in texts[:20]]
+    grams = [N.gram_counts(t) for t in texts]
+    monkeypatch.setattr(N, "WORDS", 3000)
+    basis = N.Basis(grams[1:12])
+    hubs = N.Hubs(basis, [1, 2], grams[1:3], [0, 0], 0.9, 1)
+    packed = pa.Table.from_batches([basis.pack(list(range(len(texts))), grams, [0] * len(texts), hubs)])
+    block, v = N.Block(packed), N.Vectors(packed)
+    want = np.array([[cosine(texts[a], texts[b]) for b in block.ids] for a in v.ids])
+    for i in range(len(texts)):
+        block.take(v, i)
+        assert [block.score(p) for p in range(len(texts))] == pytest.approx(want[i].tolist(), abs=1e-6)
+    monkeypatch.setattr(N, "SPARSE", 1 << 40)  # every tile by its grams
+    i, p, most = block.near(v, lambda r, c, pairs=False: np.full(len(c), 0.9), lambda r, c: np.ones((len(r), len(c)), bool))
+    assert {(a, b) for a, b in zip(i.tolist(), p.tolist())} >= set(zip(*(x.tolist() for x in np.nonzero(want >= 0.9))))
+    assert (most + N.MARGIN >= want[i, p]).all() and len(i) < want.size / 2
+    floor = dict(zip(v.ids.tolist(), v.floor.tolist()))
+    assert all(floor[a] <= max(cosine(t, texts[1]), cosine(t, texts[2])) for a, t in enumerate(texts))
